@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of characters other than ASCII white space.
 WORD = re.compile("[^\x20\x09-\x0d]+")
+#: What str.split() takes for white space besides those six.
+OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: ASCII capital letters to small ones; other characters stay.
 LOWER_ASCII = {c: c + 32 for c in range(65, 91)}
 
@@ -69,7 +71,7 @@ def publish(uri: str, data: bytes | Iterable[bytes]) -> int:
     """Writes a file under a temporary name, then moves it into place, so that readers never see part of one."""
     files, path = open_fs(uri)
     part, size = f"{path}.{uuid.uuid4().hex}", 0
-    with files.open_output_stream(part) as out:
+    with files.open_output_stream(part, compression=None) as out:
         for block in [data] if isinstance(data, bytes) else data:
             out.write(block)
             size += len(block)
@@ -79,7 +81,7 @@ def publish(uri: str, data: bytes | Iterable[bytes]) -> int:
 
 def fetch(uri: str) -> bytes:
     files, path = open_fs(uri)
-    with files.open_input_stream(path) as f:
+    with files.open_input_stream(path, compression=None) as f:
         return f.read()
 
 
@@ -146,6 +148,11 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1]) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def words(text: str) -> list[str]:
+    """The runs of characters other than ASCII white space."""
+    return WORD.findall(text) if OTHER_SPACE.search(text) else text.split()
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(f, schema)
 
