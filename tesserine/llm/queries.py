@@ -73,5 +73,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"), min_revisit_bytes=0))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_shards, op4_topk_search, op6_quality, op7_language_id, op8_sentencepieces, op9_warc)}
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserine.llm import near_dedup
+
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_shards, op4_topk_search, op6_quality, op7_language_id, op8_sentencepieces, op9_warc, op10_near_dedup)}
 ORACLES: dict[str, str] = {"op4_topk_search": OP4_SQL}
