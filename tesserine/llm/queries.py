@@ -22,6 +22,12 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.read_shards(manifest)
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserine.llm import lm_scoring
+
+    return lm_scoring.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) == 1)
+
+
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserine.llm import topk_search
 
@@ -79,5 +85,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_shards, op4_topk_search, op6_quality, op7_language_id, op8_sentencepieces, op9_warc, op10_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_shards, op2_lm_scoring, op4_topk_search, op6_quality, op7_language_id, op8_sentencepieces, op9_warc, op10_near_dedup)}
 ORACLES: dict[str, str] = {"op4_topk_search": OP4_SQL}
