@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ import xxhash
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are runs of characters other than ASCII white space.
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -129,10 +131,9 @@ class Tokens:
     def __init__(self, lists: list[list[str]]):
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
         self.bounds = np.concatenate([[0], np.cumsum(lengths)])
-        index: dict[str, int] = {}
-        put = index.setdefault
-        self.codes = np.fromiter((put(w, len(index)) for x in lists for w in x), np.int64, int(self.bounds[-1]))
-        self.words = list(index)
+        self.words = list(dict.fromkeys(chain.from_iterable(lists)))
+        at = dict(zip(self.words, range(len(self.words)), strict=True)).__getitem__
+        self.codes = np.fromiter(map(at, chain.from_iterable(lists)), np.int64, int(self.bounds[-1]))
 
     @property
     def owner(self) -> np.ndarray:
@@ -153,8 +154,22 @@ def words(text: str) -> list[str]:
     return WORD.findall(text) if OTHER_SPACE.search(text) else text.split()
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+def annotate(df: DataFrame, make: Callable[[], Callable[[list[str | None]], list[pa.Array]]], extra: dict[str, str], text: str = "text") -> DataFrame:
+    """The rows of df with further columns that depend on the text; make() gives a task its function of a list of texts.
+
+    All columns pass through, in one pass without a shuffle; a column of df with the name of a further one goes."""
+    names = [c for c in df.columns if c not in extra]
+    schema = T.StructType([*(df.schema[c] for c in names), *(T.StructField(c, T._parse_datatype_string(t)) for c, t in extra.items())])
+    given = "__text"
+    while given in names:
+        given += "_"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for part in slices(batches, given):
+            yield pa.RecordBatch.from_arrays([*(part[c] for c in names), *f(part[given].to_pylist())], [*names, *extra])
+
+    return df.select(*(F.col(f"`{c}`") for c in names), F.col(text).alias(given)).mapInArrow(run, schema)
 
 
 def crc_mod(column: str, modulus: int) -> "F.Column":

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import slices
+from tesserine.llm.common import annotate, slices
 
 SLOTS = 128
 UNKNOWN = "und"
@@ -119,16 +119,17 @@ def learn(docs: DataFrame, learnable: F.Column, dim: int = 512, n: int = 3, seed
     return Profiles(langs, vectors, dim, n, seed)
 
 
-def identify(docs: DataFrame, profiles: Profiles, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, lang_pred and score (the cosine, 0 at least) of every row, in one pass without a shuffle."""
+def annotated(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
+    """The rows of docs with lang_pred and score (the cosine, 0 at least), in one pass without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)  # languages x dim numbers
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         p = shared.value
         profiler = Profiler(p.dim, p.n, p.seed)
-        for part in slices(batches, "t"):
+
+        def predict(texts: list[str | None]) -> list[pa.Array]:
             names, scores = [], []
-            for t in part["t"].to_pylist():
+            for t in texts:
                 v = profiler.vector(t) if t and p.langs else None
                 size = 0.0 if v is None else float(np.linalg.norm(v))
                 if not size:
@@ -140,6 +141,18 @@ def identify(docs: DataFrame, profiles: Profiles, key: str = "doc_id", text: str
                 best = int(np.argmax(cos))
                 names.append(p.langs[best])
                 scores.append(min(1.0, max(0.0, float(cos[best]))))
-            yield pa.RecordBatch.from_arrays([part["k"], pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+            return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+
+        return predict
+
+    return annotate(docs, make, {"lang_pred": "string", "score": "double"}, text)
+
+
+def identify(docs: DataFrame, profiles: Profiles, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, lang_pred and score of every row."""
+    return annotated(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")), profiles, "t").select("doc_id", "lang_pred", "score")
+
 
-    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+def accepted(docs: DataFrame, profiles: Profiles, min_score: float = 0.05, text: str = "text") -> DataFrame:
+    """The rows of docs that have a language: those with a letter whose cosine with some prototype is min_score or more."""
+    return annotated(docs.withColumns({"__lang": F.struct(*docs.columns)}), profiles, text).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("__lang.*")

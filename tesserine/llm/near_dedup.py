@@ -202,8 +202,8 @@ def blocks(n: F.Column, seed: int, size: int = 200) -> F.Column:
     return F.pmod(F.xxhash64("node", F.lit(seed)), F.ceil(n / F.lit(size)).cast("long"))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 25, per_band: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, class_id, class_size, n_links (of its text to other texts, as far as tested) for every row."""
+def class_tables(docs: DataFrame, threshold: float, bands: int, per_band: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """k and node of every row; and of every node its class_id, class_size, n_links and whether it is the class's first."""
     rows = text_rows(docs, key, text)
     found = written(banded(rows, bands, per_band), "bands")
     nodes = written(found.groupBy("node").agg(F.min("k").alias("first"), F.min("bands").alias("bands")), "nodes")
@@ -238,6 +238,25 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 25, pe
     degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     copies = found.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("k").alias("first"))
     own = copies.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(degree, "node", "left")
-    classes = own.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
-    by_node = own.join(classes, "root").select("node", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return found.select("k", "node").join(by_node, "node").select(F.col("k").alias("doc_id"), "class_id", "class_size", "n_links")
+    order = F.struct(F.col("first").isNull(), "first", "node")
+    classes = own.groupBy("root").agg(F.min(order).alias("head"), F.sum("copies").alias("class_size"))
+    by_node = own.join(classes, "root").select("node", F.col("head.first").alias("class_id"), "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("head.node") == F.col("node")).alias("is_head"))
+    return found.select("k", "node"), by_node
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 25, per_band: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, class_id, class_size, n_links (of its text to other texts, as far as tested) for every row."""
+    found, by_node = class_tables(docs, threshold, bands, per_band, key, text)
+    return found.join(by_node, "node").select(F.col("k").alias("doc_id"), "class_id", "class_size", "n_links")
+
+
+def deduplicated(docs: DataFrame, threshold: float = 0.8, bands: int = 25, per_band: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that stay: of each class one, the row with the smallest id (of equal ids, the smallest digest).
+
+    Texts are looked up by id and digest; of rows that agree in both, one stays."""
+    _, by_node = class_tables(docs, threshold, bands, per_band, key, text)
+    heads = by_node.filter("is_head").select(F.col("node").alias("__node"), F.col("class_id").alias("__first"))
+    keyed = docs.withColumns({"__k": F.col(key).cast("long"), "__digest": F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))})
+    kept = keyed.join(heads, (F.col("__digest") == F.col("__node")) & F.col("__k").eqNullSafe(F.col("__first")))
+    one = Window.partitionBy("__digest", "__k").orderBy(F.lit(1))
+    return kept.withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(*docs.columns)

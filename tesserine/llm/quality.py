@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import Tokens, hash_strings, mix, slices, texts_of, words
+from tesserine.llm.common import Tokens, annotate, hash_strings, mix, slices, texts_of, words
 
 #: Bin edges of the share statistics, and of the statistics that count something.
 SHARES = np.array([0.005, 0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.65, 0.8, 0.9, 0.97])
@@ -159,15 +159,28 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: F.Column, slots: int =
     return Machine(m.bias, m.linear.astype(np.float32), m.factors.astype(np.float32))
 
 
-def score(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and score of every row, in one pass without a shuffle. The machine has a fixed number of slots."""
+def annotated(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
+    """The rows of docs with their score, in one pass without a shuffle. The machine has a fixed number of slots."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         m = shared.value
         slots = len(m.linear) - len(STATS) * BINS
-        for part in slices(batches, "t"):
-            z, _ = raw_scores(m, *features(texts_of(part, "t"), slots))
-            yield pa.RecordBatch.from_arrays([part["k"], pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(run, "doc_id long, score double")
+        def scores(texts: list[str | None]) -> list[pa.Array]:
+            z, _ = raw_scores(m, *features([t or "" for t in texts], slots))
+            return [pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())]
+
+        return scores
+
+    return annotate(docs, make, {"score": "double"}, text)
+
+
+def score(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and score of every row."""
+    return annotated(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")), machine, "t").select("doc_id", "score")
+
+
+def accepted(docs: DataFrame, machine: Machine, min_score: float = 0.7, text: str = "text") -> DataFrame:
+    """The rows of docs whose score is min_score or more."""
+    return annotated(docs.withColumns({"__row": F.struct(*docs.columns)}), machine, text).filter(F.col("score") >= min_score).select("__row.*")

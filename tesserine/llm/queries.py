@@ -28,6 +28,12 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) == 1)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserine.llm import token_counts
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserine.llm import topk_search
 
@@ -50,6 +56,12 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <=
 """
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserine.llm import decontaminate
+
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserine.llm import quality
 
@@ -85,5 +97,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_shards, op2_lm_scoring, op4_topk_search, op6_quality, op7_language_id, op8_sentencepieces, op9_warc, op10_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_shards, op2_lm_scoring, op3_token_counts, op4_topk_search, op5_decontaminate, op6_quality, op7_language_id, op8_sentencepieces, op9_warc, op10_near_dedup)}
 ORACLES: dict[str, str] = {"op4_topk_search": OP4_SQL}
