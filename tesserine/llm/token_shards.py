@@ -22,6 +22,7 @@ from __future__ import annotations
 import io
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,23 +44,24 @@ class WordEncoder:
     Equal words have equal ids, so each distinct word is encoded once and kept, up to a number of words.
     """
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 800_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.dtype = np.dtype("u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "u4")
 
     def encode(self, texts: list[str], end: int | None = None) -> list[bytes]:
         """The ids of each text as raw bytes, with the end id where one is given."""
         lists = list(map(words, texts))
         if len(self.known) > self.keep:
             self.known = {}
+        kind = "H" if self.dtype.itemsize == 2 else "I"
         new = list(set().union(*lists) - self.known.keys())
         for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(got.ids, self.dtype).tobytes()
+            self.known[word] = array(kind, got.ids).tobytes()
         at, last = self.known.__getitem__, b"" if end is None else np.array([end], self.dtype).tobytes()
         return [b"".join(map(at, x)) + last for x in lists]
 
