@@ -9,8 +9,8 @@ change nothing, so a text ends its processes there.
 Banding. Components are banded (25 bands of 5: a pair of similarity 0.8 meets with probability 0.99995). Equal texts are
 one node from the start. In each bucket, all members are compared with one centre, the member that meets most texts in
 all its buckets, and with their neighbours in digest order, within blocks of a large bucket. Buckets whose members
-aren't then all in one component are gone through again, each member against the next 15 of other components, in
-blocks dealt anew. Pairs are linear in a bucket's size; a bucket of up to 16 texts has every pair compared that
+aren't then all in one component are gone through again, each member against those of other components among the
+next 15 (the next 5 in a bucket of more than 16), in an order and in blocks of the bucket's own. Pairs are linear in a bucket's size; a bucket of up to 16 texts has every pair compared that
 could still change the components. A large bucket loses a link only if no other bucket of the two texts tests it, and
 no chain of tested links joins them.
 
@@ -226,8 +226,11 @@ def class_tables(docs: DataFrame, threshold: float, bands: int, per_band: int, k
     labelled = shared.filter("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     labelled = written(labelled, "labelled")
     open_ = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    ahead = Window.partitionBy("key", "block").orderBy("node").rowsBetween(1, 15)
-    rest = labelled.join(open_, "key").withColumn("block", blocks(F.col("n"), 2)).withColumn("next", F.collect_list(F.struct("node", "root")).over(ahead))
+    # another order in each bucket, so that two texts that meet often have many neighbours between them
+    order = F.xxhash64("node", "key")
+    ahead = Window.partitionBy("key", "block").orderBy(order, "node").rowsBetween(1, 15)
+    near = F.when(F.col("n") <= 16, 15).otherwise(5)
+    rest = labelled.join(open_, "key").withColumn("block", blocks(F.col("n"), 2)).withColumn("next", F.slice(F.collect_list(F.struct("node", "root")).over(ahead), F.lit(1), near))
     more = rest.select(F.col("node").alias("x"), F.explode(F.filter("next", lambda e: e["root"] != F.col("root"))).alias("e")).select("x", F.col("e.node").alias("y"))
     more = written(more.select(*unordered).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
     again = written(verified(more, rows, firsts, threshold), "links")
