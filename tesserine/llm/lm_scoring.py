@@ -9,9 +9,9 @@ its own insertions: a key of level L is inserted together with each of 1..L. A l
 is missing; errors are one-sided and fall with each level. Besides the filter, a partition keeps its words' exact counts
 for the base score.
 
-Scoring. The parts are broadcast in groups of bounded size, and each group resolves the keys that hash to its parts; the
-first group that holds all parts scores at once, otherwise the levels found so far travel with the texts in a written table
-from group to group. The probability of word w after u is ``b * q(u,w) / q(u) + (1 - b) * p(w)``, q being the middle
+Scoring. The parts are broadcast in groups of bounded size, and each group resolves the keys that hash to its parts; if
+one group doesn't hold all parts, the levels found so far travel with the texts in a written table from group to group.
+The levels of all tokens, two bytes each, are then a table from which weights are fitted and scores computed. The probability of word w after u is ``b * q(u,w) / q(u) + (1 - b) * p(w)``, q being the middle
 of the count's level, p the unigram with 0.5 added to each count; b depends on u's level and is fitted by expectation
 maximisation on leave-one-out counts of all training tokens (their counts by levels, a small table).
 
@@ -25,10 +25,11 @@ the fold of the empty id. Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,37 +53,44 @@ def middle_counts() -> np.ndarray:
     return out
 
 
-def tokenised(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, each text's end token included, and the bounds of the texts."""
-    t = Tokens([words(x.translate(LOWER_ASCII) if not x.isascii() else x.lower()) for x in texts])
-    n = np.diff(t.bounds)
-    bounds = t.bounds + np.arange(len(t.bounds))
-    out = np.full(int(bounds[-1]), END, np.uint64)
-    if len(t.codes):
-        out[ragged(bounds[:-1], n)] = hash_strings(t.words)[t.codes]
-    return out, bounds
+class Stream:
+    """The tokens of a slice of texts, each text's end token included: distinct hashes, codes into them, and the bounds."""
 
+    def __init__(self, texts: list[str]):
+        t = Tokens([words(x.translate(LOWER_ASCII) if not x.isascii() else x.lower()) for x in texts])
+        self.bounds = t.bounds + np.arange(len(t.bounds))
+        self.distinct = np.append(hash_strings(t.words), END) & ~np.uint64(1)
+        self.codes = np.full(int(self.bounds[-1]), len(t.words), np.int64)
+        if len(t.codes):
+            self.codes[ragged(self.bounds[:-1], np.diff(t.bounds))] = t.codes
 
-def pairs_of(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each token's predecessor (the end token for the first of a text) and the key of the pair."""
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[bounds[:-1]] = END
-    return before, mix(before * np.uint64(0x9FB21C651E98DF25) + mix(tokens))
+    def pairs(self) -> np.ndarray:
+        """The key of each token after its predecessor (the end token for the first of a text)."""
+        before = np.empty_like(self.codes)
+        before[1:] = self.codes[:-1]
+        before[self.bounds[:-1]] = len(self.distinct) - 1
+        left, right = self.distinct * np.uint64(0x9FB21C651E98DF25), mix(self.distinct)
+        return mix(left[before] + right[self.codes]) | np.uint64(1)
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    return ((keys >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+    return (((keys >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)).astype(np.int64)
 
 
 def insertions(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """A key for each level up to a key's own."""
-    each = np.repeat(keys, levels)
-    return mix(each + ragged(np.ones(len(keys), np.int64), levels).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return at_level(np.repeat(keys, levels), ragged(np.ones(len(keys), np.int64), levels).astype(np.uint64))
+
+
+def at_level(keys: np.ndarray, level: np.ndarray | np.uint64) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(keys + level * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def places(keyed: np.ndarray, bits: np.ndarray, probe: int) -> np.ndarray:
-    return (mix(keyed + np.uint64(probe)) % bits.astype(np.uint64)).astype(np.int64) if probe else (keyed % bits.astype(np.uint64)).astype(np.int64)
+    """Bit numbers below bits (under 2^32), by double hashing."""
+    h = (keyed + np.uint64(probe) * ((keyed >> np.uint64(32)) | np.uint64(1))) & np.uint64(0xFFFFFFFF)
+    return ((h * bits.astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,11 +117,12 @@ def count_parts(docs: DataFrame, text: str, parts: int) -> DataFrame:
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in slices(batches, "t", 6 << 20):
-            tokens, bounds = tokenised(texts_of(chunk, "t"))
-            both = [np.unique(x, return_counts=True) for x in (tokens, pairs_of(tokens, bounds)[1])]
+            stream = Stream(texts_of(chunk, "t"))
+            pair, pair_count = np.unique(stream.pairs(), return_counts=True)
             # a key's low bit says what it counts, so that both kinds travel together
-            keys = np.concatenate([both[0][0] & ~np.uint64(1), both[1][0] | np.uint64(1)])
-            counts = np.concatenate([both[0][1], both[1][1]])
+            keys = np.concatenate([stream.distinct, pair])
+            counts = np.concatenate([np.bincount(stream.codes, minlength=len(stream.distinct)), pair_count])
+            keys, counts = keys[counts > 0], counts[counts > 0]
             where = part_of(keys, parts)
             order = np.argsort(where, kind="stable")
             keys, counts, where = keys[order], counts[order], where[order]
@@ -156,20 +165,22 @@ def count_parts(docs: DataFrame, text: str, parts: int) -> DataFrame:
 class Lookup:
     """A group of the filter's parts, ready for lookups of the keys that hash to them."""
 
-    def __init__(self, rows: list, parts: int):
+    def __init__(self, rows: Iterable, parts: int):
         self.parts = parts
         self.here, self.size, self.base = np.zeros(parts, bool), np.full(parts, 64, np.int64), np.zeros(parts, np.int64)
-        data, at = [], 0
+        data, keys, counts, at = [np.zeros(0, np.uint8)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], 0
         for r in rows:
             p = r["part"]
             self.here[p], self.size[p], self.base[p] = True, r["n_bits"], at
             data.append(np.frombuffer(r["bits"], np.uint8))
+            keys.append(np.frombuffer(r["words"], np.uint64))
+            many = np.frombuffer(r["word_counts"], "<i8")
+            counts.append(many.astype(np.uint32) if many.max(initial=0) < 2**32 else many)
             at += 8 * len(data[-1])
-        self.bits = np.concatenate(data) if data else np.zeros(8, np.uint8)
-        words = np.concatenate([np.frombuffer(r["words"], np.uint64) for r in rows]) if rows else np.zeros(0, np.uint64)
-        counts = np.concatenate([np.frombuffer(r["word_counts"], "<i8") for r in rows]) if rows else np.zeros(0, np.int64)
-        order = np.argsort(words)
-        self.words, self.counts = words[order], counts[order]
+        self.bits, self.words, self.counts = np.concatenate(data), np.concatenate(keys), np.concatenate(counts)
+        # parts are ranges of the upper bits below the top ones, so the words need one more sort
+        order = np.argsort(self.words)
+        self.words, self.counts = self.words[order], self.counts[order]
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Each key's level by repeated probes; 0 for keys of parts that aren't here."""
@@ -179,7 +190,7 @@ class Lookup:
         for level in range(1, LEVELS + 1):
             if not len(open_):
                 break
-            keyed = mix(keys[open_] + np.uint64(level * 0xC2B2AE3D27D4EB4F % 2**64))
+            keyed = at_level(keys[open_], np.uint64(level))
             size, base = self.size[part[open_]], self.base[part[open_]]
             for probe in range(PROBES):
                 at = base + places(keyed, size, probe)
@@ -192,14 +203,12 @@ class Lookup:
         if not len(self.words):
             return np.zeros(len(keys), np.int64)
         at = np.minimum(np.searchsorted(self.words, keys), len(self.words) - 1)
-        return np.where(self.words[at] == keys, self.counts[at], 0)
+        return np.where(self.words[at] == keys, self.counts[at], 0).astype(np.int64)
 
 
-def resolve(look: Lookup, tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def resolve(look: Lookup, stream: Stream) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each token: the exact count, its level by the filter, and its pair's level, as far as this group holds them."""
-    own, at = np.unique(tokens & ~np.uint64(1), return_inverse=True)
-    pair, pair_at = np.unique(pairs_of(tokens, bounds)[1] | np.uint64(1), return_inverse=True)
-    return look.exact(own)[at], look.levels(own)[at], look.levels(pair)[pair_at]
+    return look.exact(stream.distinct)[stream.codes], look.levels(stream.distinct)[stream.codes], look.levels(stream.pairs())
 
 
 def before_levels(levels: np.ndarray, bounds: np.ndarray, end_level: int) -> np.ndarray:
@@ -224,6 +233,7 @@ def groups(parts: DataFrame, n: int, max_bytes: int) -> list[list[int]]:
 
 
 STATE = "k long, held_out boolean, t string, exact binary, level binary, pair binary"
+KINDS = {"exact": "<i8", "level": "u1", "pair": "u1"}
 
 
 def with_levels(docs: DataFrame, parts: DataFrame, n: int, max_bytes: int) -> tuple[DataFrame, object | None]:
@@ -232,24 +242,23 @@ def with_levels(docs: DataFrame, parts: DataFrame, n: int, max_bytes: int) -> tu
     spark = docs.sparkSession
 
     def load(group: list[int]) -> object:
-        return spark.sparkContext.broadcast(parts.filter(F.col("part").isin(group)).collect() if group else [])
+        return spark.sparkContext.broadcast(Lookup(parts.filter(F.col("part").isin(group)).toLocalIterator() if group else [], n))
 
     if len(grouped) == 1:
         return docs, load(grouped[0])
-    state = docs.withColumns({c: F.lit(None).cast("binary") for c in ("exact", "level", "pair")})
+    state = docs.withColumns({c: F.lit(None).cast("binary") for c in KINDS})
     for group in grouped:
         shared = load(group)
 
         def run(batches: Iterator[pa.RecordBatch], shared: object = shared) -> Iterator[pa.RecordBatch]:
-            look = Lookup(shared.value, n)
+            look = shared.value
             for chunk in slices(batches, "t"):
-                tokens, bounds = tokenised(texts_of(chunk, "t"))
-                got = dict(zip(("exact", "level", "pair"), resolve(look, tokens, bounds), strict=True))
-                kinds = {"exact": "<i8", "level": "u1", "pair": "u1"}
+                stream = Stream(texts_of(chunk, "t"))
+                got = dict(zip(KINDS, resolve(look, stream), strict=True))
                 out = {c: chunk[c] for c in ("k", "held_out", "t")}
-                for c, kind in kinds.items():
+                for c, kind in KINDS.items():
                     old = [None if x is None else np.frombuffer(x, kind) for x in chunk[c].to_pylist()]
-                    new = [got[c][a:b].astype(kind) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                    new = by_text(got[c].astype(kind), stream.bounds)
                     out[c] = pa.array([(y if x is None else np.maximum(x, y)).tobytes() for x, y in zip(old, new, strict=True)], pa.binary())
                 yield pa.RecordBatch.from_pydict(out)
 
@@ -258,14 +267,38 @@ def with_levels(docs: DataFrame, parts: DataFrame, n: int, max_bytes: int) -> tu
     return state, None
 
 
-def looked_up(chunk: pa.RecordBatch, look: Lookup | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bounds, exact counts, levels and pair levels of a slice of texts."""
-    if look is not None:
-        tokens, bounds = tokenised(texts_of(chunk, "t"))
-        return bounds, *resolve(look, tokens, bounds)
-    found = [np.frombuffer(b"".join(chunk[c].to_pylist()), kind).astype(np.int64) for c, kind in (("exact", "<i8"), ("level", "u1"), ("pair", "u1"))]
-    sizes = [len(x) for x in chunk["level"].to_pylist()]
-    return np.concatenate([[0], np.cumsum(sizes)]), *found
+def by_text(values: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    return [values[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
+def joined(chunk: pa.RecordBatch, column: str) -> np.ndarray:
+    return np.frombuffer(b"".join(chunk[column].to_pylist()), KINDS[column]).astype(np.int64)
+
+
+def bounds_of(chunk: pa.RecordBatch) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(chunk["level"]), np.int64))])
+
+
+LOOKED_UP = "k long, held_out boolean, n_tokens long, n_known long, base_score double, level binary, pair binary"
+
+
+def look_up(state: DataFrame, shared: object | None, n_tokens: int, n_words: int) -> DataFrame:
+    """Every text's exact figures, and the levels of its tokens and pairs, two bytes a token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = None if shared is None else shared.value
+        for chunk in slices(batches, "t"):
+            if look is None:
+                bounds, (exact, level, pair) = bounds_of(chunk), (joined(chunk, c) for c in KINDS)
+            else:
+                stream = Stream(texts_of(chunk, "t"))
+                bounds, (exact, level, pair) = stream.bounds, resolve(look, stream)
+            first = bounds[:-1]
+            blobs = [pa.array([x.tobytes() for x in by_text(v.astype(np.uint8), bounds)], pa.binary()) for v in (level, pair)]
+            figures = [np.diff(bounds), np.add.reduceat((exact > 0).astype(np.int64), first), np.add.reduceat(np.log10(unigram(exact, n_tokens, n_words)), first)]
+            yield pa.RecordBatch.from_arrays([chunk["k"], chunk["held_out"], *map(pa.array, figures), *blobs], ["k", "held_out", "n_tokens", "n_known", "base_score", "level", "pair"])
+
+    return written(state.mapInArrow(run, LOOKED_UP), "looked-up")
 
 
 def unigram(counts: np.ndarray, n_tokens: int, n_words: int) -> np.ndarray:
@@ -301,38 +334,32 @@ def score(docs: DataFrame, held_out: F.Column, key: str = "doc_id", text: str =
     parts = count_parts(rows.filter(~F.col("held_out")), "t", n)
     n_tokens, n_words = (x or 0 for x in parts.agg(F.sum("n_tokens"), F.sum("n_words")).first())
     state, shared = with_levels(rows, parts, n, max_broadcast_bytes)
-    end = END & ~np.uint64(1)
-    end_part = parts.filter(F.col("part") == int(part_of(np.array([end]), n)[0])).collect()
-    end_level = int(Lookup(end_part, n).levels(np.array([end]))[0])
-
-    def lookups() -> Lookup | None:
-        return None if shared is None else Lookup(shared.value, n)
+    table = look_up(state, shared, n_tokens, n_words)
+    end = np.array([END & ~np.uint64(1)])
+    end_level = int(Lookup(parts.filter(F.col("part") == int(part_of(end, n)[0])).collect(), n).levels(end)[0])
+    width = LEVELS + 1
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look, table = lookups(), {}
-        width = LEVELS + 1
-        for chunk in slices(batches, "t"):
-            bounds, _, level, pair = looked_up(chunk, look)
-            code, count = np.unique((pair * width + before_levels(level, bounds, end_level)) * width + level, return_counts=True)
-            for c, x in zip(code.tolist(), count.tolist(), strict=True):
-                table[c] = table.get(c, 0) + x
-        yield pa.RecordBatch.from_pydict({"code": pa.array(table, pa.int64()), "count": pa.array(table.values(), pa.int64())})
-
-    cells = state.filter(~F.col("held_out")).mapInArrow(tally, "code long, count long").groupBy("code").agg(F.sum("count").alias("count")).collect()  # at most 65 cubed
-    width = LEVELS + 1
+        cells = np.zeros(width**3, np.int64)
+        for chunk in slices(batches, "level", 1 << 19):
+            level, pair = joined(chunk, "level"), joined(chunk, "pair")
+            cells += np.bincount((pair * width + before_levels(level, bounds_of(chunk), end_level)) * width + level, minlength=width**3)
+        code = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_pydict({"code": code, "count": cells[code]})
+
+    cells = table.filter(~F.col("held_out")).select("level", "pair").mapInArrow(tally, "code long, count long").groupBy("code").agg(F.sum("count").alias("count")).collect()  # at most 65 cubed
     weights = fit_weights({(r["code"] // width**2, r["code"] // width % width, r["code"] % width): r["count"] for r in cells}, n_tokens, n_words)
     middle = middle_counts()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = lookups()
-        for chunk in slices(batches, "t"):
-            bounds, exact, level, pair = looked_up(chunk, look)
-            first = bounds[:-1]
+        p1 = unigram(middle, n_tokens, n_words)
+        for chunk in slices(batches, "level", 1 << 19):
+            level, pair, bounds = joined(chunk, "level"), joined(chunk, "pair"), bounds_of(chunk)
             before = before_levels(level, bounds, end_level)
             b = np.where(before > 0, weights[before], 0)
-            p2 = np.minimum(1, middle[pair] / np.maximum(1, middle[before]))
-            p = b * p2 + (1 - b) * unigram(middle[level], n_tokens, n_words)
-            columns = [np.diff(bounds), np.add.reduceat((exact > 0).astype(np.int64), first), np.full(len(first), n_tokens), np.add.reduceat(np.log10(unigram(exact, n_tokens, n_words)), first), np.add.reduceat(np.log10(p), first)]
-            yield pa.RecordBatch.from_arrays([chunk["k"], chunk["held_out"], *map(pa.array, columns)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            p = b * np.minimum(1, middle[pair] / np.maximum(1, middle[before])) + (1 - b) * p1[level]
+            scores = np.add.reduceat(np.log10(p), bounds[:-1])
+            yield pa.RecordBatch.from_arrays([*(chunk[c] for c in ("k", "held_out", "n_tokens", "n_known", "base_score")), pa.array(scores)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    return state.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = table.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
