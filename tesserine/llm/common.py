@@ -160,16 +160,15 @@ def annotate(df: DataFrame, make: Callable[[], Callable[[list[str | None]], list
     All columns pass through, in one pass without a shuffle; a column of df with the name of a further one goes."""
     names = [c for c in df.columns if c not in extra]
     schema = T.StructType([*(df.schema[c] for c in names), *(T.StructField(c, T._parse_datatype_string(t)) for c, t in extra.items())])
-    given = "__text"
-    while given in names:
-        given += "_"
+    given = text if text in names else f"{text}__given"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for part in slices(batches, given):
+        for part in slices(batches, given, 2 << 20):
             yield pa.RecordBatch.from_arrays([*(part[c] for c in names), *f(part[given].to_pylist())], [*names, *extra])
 
-    return df.select(*(F.col(f"`{c}`") for c in names), F.col(text).alias(given)).mapInArrow(run, schema)
+    rest = [] if given in names else [F.col(f"`{text}`").alias(given)]
+    return df.select(*(F.col(f"`{c}`") for c in names), *rest).mapInArrow(run, schema)
 
 
 def crc_mod(column: str, modulus: int) -> "F.Column":

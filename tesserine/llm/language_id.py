@@ -119,8 +119,8 @@ def learn(docs: DataFrame, learnable: F.Column, dim: int = 512, n: int = 3, seed
     return Profiles(langs, vectors, dim, n, seed)
 
 
-def annotated(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
-    """The rows of docs with lang_pred and score (the cosine, 0 at least), in one pass without a shuffle."""
+def annotated(docs: DataFrame, profiles: Profiles, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The rows of docs with the predicted language and its score (the cosine, 0 at least), in one pass without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)  # languages x dim numbers
 
     def make():
@@ -128,24 +128,24 @@ def annotated(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFr
         profiler = Profiler(p.dim, p.n, p.seed)
 
         def predict(texts: list[str | None]) -> list[pa.Array]:
-            names, scores = [], []
+            found, scores = [], []
             for t in texts:
                 v = profiler.vector(t) if t and p.langs else None
                 size = 0.0 if v is None else float(np.linalg.norm(v))
                 if not size:
                     # letters whose bundle cancels out are a tie of all languages
-                    names.append(UNKNOWN if v is None else p.langs[0])
+                    found.append(UNKNOWN if v is None else p.langs[0])
                     scores.append(0.0)
                     continue
                 cos = np.round(p.prototypes @ v / size, 9)
                 best = int(np.argmax(cos))
-                names.append(p.langs[best])
+                found.append(p.langs[best])
                 scores.append(min(1.0, max(0.0, float(cos[best]))))
-            return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+            return [pa.array(found, pa.string()), pa.array(scores, pa.float64())]
 
         return predict
 
-    return annotate(docs, make, {"lang_pred": "string", "score": "double"}, text)
+    return annotate(docs, make, {names[0]: "string", names[1]: "double"}, text)
 
 
 def identify(docs: DataFrame, profiles: Profiles, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -155,4 +155,4 @@ def identify(docs: DataFrame, profiles: Profiles, key: str = "doc_id", text: str
 
 def accepted(docs: DataFrame, profiles: Profiles, min_score: float = 0.05, text: str = "text") -> DataFrame:
     """The rows of docs that have a language: those with a letter whose cosine with some prototype is min_score or more."""
-    return annotated(docs.withColumns({"__lang": F.struct(*docs.columns)}), profiles, text).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("__lang.*")
+    return annotated(docs, profiles, text, ("__lang", "__cosine")).filter((F.col("__lang") != UNKNOWN) & (F.col("__cosine") >= min_score)).select(*docs.columns)

@@ -159,7 +159,7 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: F.Column, slots: int =
     return Machine(m.bias, m.linear.astype(np.float32), m.factors.astype(np.float32))
 
 
-def annotated(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
+def annotated(docs: DataFrame, machine: Machine, text: str = "text", name: str = "score") -> DataFrame:
     """The rows of docs with their score, in one pass without a shuffle. The machine has a fixed number of slots."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
@@ -173,7 +173,7 @@ def annotated(docs: DataFrame, machine: Machine, text: str = "text") -> DataFram
 
         return scores
 
-    return annotate(docs, make, {"score": "double"}, text)
+    return annotate(docs, make, {name: "double"}, text)
 
 
 def score(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -183,4 +183,4 @@ def score(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "t
 
 def accepted(docs: DataFrame, machine: Machine, min_score: float = 0.7, text: str = "text") -> DataFrame:
     """The rows of docs whose score is min_score or more."""
-    return annotated(docs.withColumns({"__row": F.struct(*docs.columns)}), machine, text).filter(F.col("score") >= min_score).select("__row.*")
+    return annotated(docs, machine, text, "__quality").filter(F.col("__quality") >= min_score).select(*docs.columns)
