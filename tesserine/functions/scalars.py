@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,8 +31,7 @@ def int_divide(a: Column, b: Column) -> Column:
 
 def ip_to_int(ip: Column) -> Column:
     """A dotted address as a whole number: each part takes eight bits."""
-    p = F.split(ip, r"\.")
-    return reduce(lambda acc, i: F.shiftleft(acc, 8) + F.get(p, F.lit(i)).cast("long"), range(1, 4), F.get(p, F.lit(0)).cast("long"))
+    return F.aggregate(F.split(ip, r"\."), F.lit(0).cast("long"), lambda n, part: F.shiftleft(n, 8) + part.cast("long"))
 
 
 def parse_boolean(s: Column) -> Column:

@@ -28,8 +28,10 @@ def traceroute(t: Tables) -> Table:
     """Traces ``id:ip:latency|id:ip:latency|...`` to links between consecutive addresses that occur more than 20 times."""
     hop = lambda i, x: F.concat(F.lit(f"{i}:0.0."), x.cast("string"), F.lit(".1:0.5"))
     traces = t.lineitem.select(lambda l: {"trace": F.concat_ws("|", hop(0, l.l_partkey % 50), hop(1, l.l_suppkey % 50), hop(2, l.l_linenumber))})
-    ips = traces.select(lambda r: {"ips": F.transform(F.split(r.trace, r"\|"), lambda h: S.ip_to_int(F.get(F.split(h, ":"), F.lit(1))))})
-    links = ips.select_many(lambda r: A.pairs(r.ips))
+    # neighbours first, then the addresses: each hop is parsed once for each link
+    hops = traces.select_many(lambda r: A.pairs(F.split(r.trace, r"\|")))
+    address = lambda hop: S.ip_to_int(F.get(F.split(hop, ":"), F.lit(1)))
+    links = hops.select(lambda e: {"src": address(e.src), "dst": address(e.dst)})
     return links.group_by(lambda e: (e.src, e.dst)).select(lambda g: {"src": g.key._1, "dst": g.key._2, "n": g.count()}).where(lambda r: r.n > 20)
 
 

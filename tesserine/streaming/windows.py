@@ -10,7 +10,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of its Parquet files."""
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windowed(events: DataFrame, window: str = "1 day", late: str = "2 days") -> DataFrame:
