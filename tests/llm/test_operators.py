@@ -59,6 +59,16 @@ def test_token_shards(spark, odd, none):
     assert token_shards.read_shards(token_shards.write_shards(none, path, 1)).count() == 0
 
 
+def test_words_by_parts():
+    e = token_shards.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert e.by_parts and not e.known
+    random.seed(3)
+    some = ["".join(random.choice('abcXYZßéÀÿ.,;:!?*"()[]#_/-\'1²ªº|<>Kİſﬁ') for _ in range(random.randint(1, 9))) for _ in range(5000)] + ["<|endoftext|>", "a<|endoftext|>b", "ΣΑΣ", "e\u0301a."]
+    for word, ids in zip(some, e.encode(some), strict=True):
+        assert np.frombuffer(ids, e.dtype).tolist() == e.tokenizer.encode(word, add_special_tokens=False).ids
+    assert not token_shards.WordEncoder(public_tokenizers.path("byte_bpe_50k.json")).by_parts
+
+
 def test_lm_scoring(spark, odd, none):
     low = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x)
     for docs, bound in ((documents(spark), 1 << 30), (documents(spark), 100_000), (odd, 1 << 30)):
