@@ -70,7 +70,7 @@ class WordEncoder:
         quick, self.known = self.known, {}
         self.by_parts = False
         self._learn(PROBES)
-        self.by_parts = quick == self.known
+        self.by_parts, self.known = quick == self.known, {}
 
     def _part(self, part: str) -> bytes:
         """The ids of a run of small letters or of marks."""
