@@ -72,6 +72,23 @@ def logistic_regression(df: DataFrame, xs: Sequence[Column], y: Column, rate: fl
     return theta
 
 
+def support_vector_machine(df: DataFrame, xs: Sequence[Column], y: Column, cost: float = 1.0, tolerance: float = 1e-3, most: int = 100) -> list[float]:
+    """Bias and weights of the linear machine with the least w.w / 2 + cost * (sum of hinge losses); y is 1 or 0.
+
+    The primal is solved over aggregates of all rows, so no pairs of rows are chosen and the result doesn't depend on
+    chance. Rows with a null take no part; without rows, all are 0."""
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.functions import array_to_vector
+
+    rows = df.select(F.array(*(x.cast("double") for x in xs)).alias("x"), y.cast("double").alias("label"))
+    rows = rows.filter(F.col("label").isNotNull() & ~F.exists("x", lambda v: v.isNull())).select(array_to_vector("x").alias("x"), "label")
+    n = rows.count()
+    if not n:
+        return [0.0] * (len(xs) + 1)
+    found = LinearSVC(featuresCol="x", regParam=1 / (cost * n), tol=tolerance, maxIter=most, standardization=False).fit(rows)
+    return [found.intercept, *found.coefficients.toArray().tolist()]
+
+
 def gaussian_discriminant(df: DataFrame, xs: Sequence[Column], y: Column) -> DataFrame:
     """One row: phi, the class means m0_i and m1_i, and the unnormalised scatter s_i_j around the own class's mean."""
     one = y == 1

@@ -45,6 +45,12 @@ def ml_logistic_regression(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(i, round(v, 6)) for i, v in enumerate(theta)], "i int, theta double")
 
 
+@query()
+def ml_support_vector_machine(t: Tables) -> DataFrame:
+    weights = L.support_vector_machine(labelled(t), [F.col("x"), F.col("z")], F.col("y"))
+    return t.spark.createDataFrame([(i, round(w, 6)) for i, w in enumerate(weights)], "i int, weight double")
+
+
 @query("""WITH d AS (SELECT l_quantity / 50 AS x, l_extendedprice / 100000 AS z, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y FROM lineitem),
 m AS (SELECT avg(y) AS phi, avg(x) FILTER (WHERE y = 0) AS m0_0, avg(z) FILTER (WHERE y = 0) AS m0_1, avg(x) FILTER (WHERE y = 1) AS m1_0, avg(z) FILTER (WHERE y = 1) AS m1_1 FROM d),
 c AS (SELECT m.*, x - CASE WHEN y = 1 THEN m1_0 ELSE m0_0 END AS a, z - CASE WHEN y = 1 THEN m1_1 ELSE m0_1 END AS b FROM d, m)

@@ -136,3 +136,15 @@ def test_stream(spark):
     key = lambda r: (r["window_start"].date(), r["event_type"], r["n"])
     got = {key(r) for r in spark.table("event_windows").collect()}
     assert got == {key(r) for r in windows.windowed(spark.read.parquet(f"{sf}/events.parquet")).collect()}
+
+
+def test_support_vector_machine(spark):
+    from tesserine.operators.learning import support_vector_machine
+
+    xs = [F.col("a"), F.col("b")]
+    rows = [(-1.0, 3.0, 0), (1.0, 3.0, 1), (-4.0, -3.0, 0), (5.0, -3.0, 1), (None, 1.0, 1), (2.0, 2.0, None)]
+    df = spark.createDataFrame(rows, "a double, b double, y int")
+    bias, a, b = support_vector_machine(df, xs, F.col("y"), tolerance=1e-6)
+    # the widest street between the classes is |a| < 1
+    assert abs(a - 1) < 0.05 and abs(b) < 0.05 and abs(bias) < 0.2
+    assert support_vector_machine(df.filter("false"), xs, F.col("y")) == [0.0, 0.0, 0.0]
