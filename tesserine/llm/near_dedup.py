@@ -11,8 +11,9 @@ one node from the start. In each bucket, all members are compared with one centr
 all its buckets, and with their neighbours in digest order, within blocks of a large bucket. Buckets whose members
 aren't then all in one component are gone through again, each member against those of other components among the
 next 15 (the next 5 in a bucket of more than 16), in an order and in blocks of the bucket's own. Pairs are linear in a bucket's size; a bucket of up to 16 texts has every pair compared that
-could still change the components. A large bucket loses a link only if no other bucket of the two texts tests it, and
-no chain of tested links joins them.
+could still change the components. The texts of larger buckets that still hold several components are banded again,
+by independent signatures with finer bands (80 of 12), and compared across components where they meet. Like the bands
+themselves this finds a link with high probability, not with certainty; no text is left out of it.
 
 Verification. A pair is a link if its similarity is 0.8 or more: the probability Jaccard of shingle counts or the
 Jaccard of shingle sets, for words as written or for words bare of punctuation, whichever is highest.
@@ -39,6 +40,8 @@ from tesserine.llm.common import Tokens, hash_strings, mix, slices, texts_of, wo
 
 SHINGLE = 5
 BARE = regex.compile(r"[\p{L}\p{N}]+")
+#: Shingles (16 bytes each) that a worker keeps of the texts it has compared.
+KEPT = 2_000_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -142,11 +145,13 @@ def text_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("k"), F.unhex(F.md5(t.cast("binary"))).alias("node"), t.alias("t"))
 
 
-def banded(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
+def banded(rows: DataFrame, bands: int, per_band: int, seed: int = 0) -> DataFrame:
+    """The band keys of each row's text; another seed gives signatures independent of those of seed 0."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t", 2 << 20):
             s, c, sizes = weighted_shingles([words(x.lower()) for x in texts_of(part, "t")])
-            keys = band_keys(signatures(s, c, sizes, bands * per_band), bands, per_band)
+            keys = band_keys(signatures(mix(s ^ np.uint64(seed)) if seed else s, c, sizes, bands * per_band), bands, per_band)
             lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands).astype(np.int32), pa.array(keys.ravel(), pa.int64()))
             yield pa.RecordBatch.from_arrays([part["k"], part["node"], lists], ["k", "node", "bands"])
 
@@ -162,14 +167,17 @@ def verified(pairs: DataFrame, rows: DataFrame, firsts: DataFrame, threshold: fl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[bytes, list] = {}
+        held = 0
         for part in slices(batches, "tb", 8 << 20):
             keep = []
             for a, b, ta, tb in zip(*(part[c].to_pylist() for c in ("a", "b", "ta", "tb")), strict=True):
-                if len(last) > 256:
+                if held > KEPT:
                     last.clear()
+                    held = 0
                 for node, t in ((a, ta), (b, tb)):
                     if node not in last:
                         last[node] = readings(t)
+                        held += 64 + sum(len(s) for s, _ in last[node])
                 keep.append(max(jaccards(x, y) for x, y in zip(last[a], last[b], strict=True)) >= threshold)
             yield pa.RecordBatch.from_arrays([part["a"], part["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -202,6 +210,25 @@ def blocks(n: F.Column, seed: int, size: int = 200) -> F.Column:
     return F.pmod(F.xxhash64("node", F.lit(seed)), F.ceil(n / F.lit(size)).cast("long"))
 
 
+def finer_pairs(shared: DataFrame, roots: DataFrame, rows: DataFrame, firsts: DataFrame, bands: int = 80, per_band: int = 12, ahead: int = 31) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that meet in a bucket of finer bands.
+
+    Taken are the nodes of buckets of more than 16 members that hold more than one component. Their texts get signatures
+    of their own; a pair of similarity 0.8 meets with probability 0.9966, one of 0.6 with 0.16. Within a finer bucket
+    each member is paired with the next 31, in an order of the bucket's own: pairs stay linear in its size."""
+    labelled = shared.filter("n > 16").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    nodes = written(labelled.join(open_, "key").select("node", "root").distinct(), "open")
+    heads = nodes.join(firsts, "node").select("node", F.col("first").alias("f"))
+    texts = rows.join(heads, "node").filter(F.col("k").eqNullSafe(F.col("f"))).select("k", "node", "t").dropDuplicates(["node"])
+    members = written(banded(texts, bands, per_band, seed=1).select("node", F.explode("bands").alias("key")).join(nodes, "node"), "finer")
+    mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi").select("key", "n")
+    beside = Window.partitionBy("key", "block").orderBy(F.xxhash64("node", "key"), "node").rowsBetween(1, ahead)
+    near = members.join(mixed, "key").withColumn("block", blocks(F.col("n"), 3)).withColumn("next", F.collect_list(F.struct("node", "root")).over(beside))
+    across = near.select(F.col("node").alias("x"), F.explode(F.filter("next", lambda e: e["root"] != F.col("root"))).alias("e")).select("x", F.col("e.node").alias("y"))
+    return across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def class_tables(docs: DataFrame, threshold: float, bands: int, per_band: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """k and node of every row; and of every node its class_id, class_size, n_links and whether it is the class's first."""
     rows = text_rows(docs, key, text)
@@ -238,6 +265,12 @@ def class_tables(docs: DataFrame, threshold: float, bands: int, per_band: int, k
         links = links.union(again)
         roots = written(components(links), "roots")
 
+    finer = written(finer_pairs(shared, roots, rows, firsts).join(pairs.union(more), ["a", "b"], "left_anti"), "pairs")
+    last = written(verified(finer, rows, firsts, threshold), "links")
+    if not last.isEmpty():
+        links = links.union(last)
+        roots = written(components(links), "roots")
+
     degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     copies = found.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("k").alias("first"))
     own = copies.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(degree, "node", "left")

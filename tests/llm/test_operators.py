@@ -261,6 +261,34 @@ def test_near_dedup(spark, odd, none):
     assert near_dedup.near_duplicates(none).count() == near_dedup.deduplicated(none).count() == 0
 
 
+def test_near_dedup_in_large_buckets(spark):
+    """Families of alike texts that all share most of a passage: large buckets of many components."""
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choices("abcdefghijklmnop", k=6))
+    base, texts = [word() for _ in range(200)], []
+    for _ in range(80):
+        family = base[:165] + [word() for _ in range(35)]
+        for _ in range(4):
+            at = draw.randrange(150)
+            texts.append(" ".join(family[:at] + [word() for _ in range(draw.randrange(12))] + family[at:]))
+    sets = [near_dedup.readings(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for j in range(len(texts)):
+        for i in range(j):
+            if max(near_dedup.jaccards(x, y) for x, y in zip(sets[i], sets[j], strict=True)) >= 0.8 and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert len(set(got.values())) > 40
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
 def test_pipeline(spark, none):
     import corpus_pipeline
 
