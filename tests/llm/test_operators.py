@@ -139,6 +139,28 @@ def test_decontaminate(spark, odd, none):
     assert decontaminate.find_leaks(none, bench).count() == decontaminate.find_leaks(odd, bench.filter("false")).count() == 0
 
 
+def planted(spark, items, leaks):
+    """find_leaks over one document for each leak (a list of words) between other words: the pairs of ids found."""
+    draw = random.Random(3)
+    around = lambda: " ".join(f"o{draw.randrange(10**6)}" for _ in range(50))
+    docs = spark.createDataFrame([(i, f"{around()} {' '.join(x)} {around()}") for i, x in enumerate(leaks)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()}
+
+
+def test_decontaminate_edits_anywhere(spark):
+    """All allowed edits side by side, at an item's start, middle or end: words replaced, left out or put in."""
+    items, leaks = [], []
+    for n in (20, 40, 60, 100):
+        for at in (0, n // 2 - n // 10, n - n // 5):
+            for change in range(3):
+                item = [f"w{len(items)}x{i}" for i in range(n)]
+                new = [f"n{i}" for i in range(n // 5)] if change != 1 else []
+                items.append(item)
+                leaks.append(item[:at] + new + item[at + (n // 5 if change != 2 else 0) :])
+    assert planted(spark, items, leaks) == {(i, i) for i in range(len(items))}
+
+
 def test_edit_distances():
     random.seed(5)
     for _ in range(50):
