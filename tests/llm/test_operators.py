@@ -161,6 +161,15 @@ def test_decontaminate_edits_anywhere(spark):
     assert planted(spark, items, leaks) == {(i, i) for i in range(len(items))}
 
 
+def test_decontaminate_short_items(spark):
+    """Whole copies of items of few words in the middle of a text, and copies with one edit."""
+    items = [[f"w{n}x{k}x{i}" for i in range(n)] for n in (5, 6, 7, 8, 9) for k in range(20)]
+    same = {(i, i) for i in range(len(items))}
+    assert planted(spark, items, items) == same
+    assert planted(spark, items, [[*x[: k % len(x)], "new", *x[k % len(x) + 1 :]] for k, x in enumerate(items)]) == same
+    assert planted(spark, [x[:4] for x in items], [x[:4] for x in items]) == set()
+
+
 def test_edit_distances():
     random.seed(5)
     for _ in range(50):
