@@ -170,6 +170,31 @@ def test_decontaminate_short_items(spark):
     assert planted(spark, [x[:4] for x in items], [x[:4] for x in items]) == set()
 
 
+def test_decontaminate_against_all_windows(spark):
+    """Random edits up to and past the limit, over words that repeat: the same pairs as all windows compared."""
+    draw = random.Random(8)
+    word = lambda: f"w{min(draw.randrange(1, 400), draw.randrange(1, 400))}"
+    items, texts = [[word() for _ in range(draw.randrange(5, 60))] for _ in range(150)], []
+    for x in items:
+        x = list(x)
+        for _ in range(len(x) // 5 + draw.choice((0, 0, 0, 1))):
+            at = draw.randrange(len(x))
+            x[at : at + 1] = draw.choice(([], [word()], [x[at], word()]))
+        texts.append([*(word() for _ in range(draw.randrange(20))), *x, *(word() for _ in range(draw.randrange(20)))])
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.find_leaks(docs, bench).collect()}
+    want = {}
+    area = np.zeros((len(texts), max(map(len, texts))), np.int64)
+    for i, x in enumerate(texts):
+        area[i, : len(x)] = [int(w[1:]) for w in x]
+    for k, x in enumerate(items):
+        for i, e in enumerate(decontaminate.edit_distances(np.array([int(w[1:]) for w in x]), area).tolist()):
+            if e <= len(x) // 5:
+                want[i, k] = e
+    assert got == want and len(want) > 100
+
+
 def test_edit_distances():
     random.seed(5)
     for _ in range(50):
