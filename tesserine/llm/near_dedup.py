@@ -10,10 +10,12 @@ Banding. Components are banded (25 bands of 5: a pair of similarity 0.8 meets wi
 one node from the start. In each bucket, all members are compared with one centre, the member that meets most texts in
 all its buckets, and with their neighbours in digest order, within blocks of a large bucket. Buckets whose members
 aren't then all in one component are gone through again, each member against those of other components among the
-next 15 (the next 5 in a bucket of more than 16), in an order and in blocks of the bucket's own. Pairs are linear in a bucket's size; a bucket of up to 16 texts has every pair compared that
-could still change the components. The texts of larger buckets that still hold several components are banded again,
-by independent signatures with finer bands (80 of 12), and compared across components where they meet. Like the bands
-themselves this finds a link with high probability, not with certainty; no text is left out of it.
+next 15 (the next 5 in a bucket of more than 16), in an order of the bucket's own and within blocks. These two rounds
+are linear in a bucket's size and join most of what belongs together; a bucket of up to 16 texts has every pair compared
+that could still change the components. In larger buckets that still hold several components, every pair across
+components is then looked at, in pairs of blocks spread over tasks, and compared unless a bound rules it out: shingles are
+counted in 128 cells, and what two texts have in common is at most the sum of the lesser counts. So no link between
+texts that share a bucket is missing from the classes; the looking takes time in proportion to the square of a crowd.
 
 Verification. A pair is a link if its similarity is 0.8 or more: the probability Jaccard of shingle counts or the
 Jaccard of shingle sets, for words as written or for words bare of punctuation, whichever is highest.
@@ -43,6 +45,8 @@ BARE = regex.compile(r"[\p{L}\p{N}]+")
 #: Shingles (16 bytes each) that a worker keeps of the texts it has compared.
 KEPT = 2_000_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Cells in which a text's shingles are counted.
+CELLS = 128
 
 
 def weighted_shingles(lists: list[list[str]], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,13 +149,13 @@ def text_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("k"), F.unhex(F.md5(t.cast("binary"))).alias("node"), t.alias("t"))
 
 
-def banded(rows: DataFrame, bands: int, per_band: int, seed: int = 0) -> DataFrame:
-    """The band keys of each row's text; another seed gives signatures independent of those of seed 0."""
+def banded(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
+    """The band keys of each row's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t", 2 << 20):
             s, c, sizes = weighted_shingles([words(x.lower()) for x in texts_of(part, "t")])
-            keys = band_keys(signatures(mix(s ^ np.uint64(seed)) if seed else s, c, sizes, bands * per_band), bands, per_band)
+            keys = band_keys(signatures(s, c, sizes, bands * per_band), bands, per_band)
             lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands).astype(np.int32), pa.array(keys.ravel(), pa.int64()))
             yield pa.RecordBatch.from_arrays([part["k"], part["node"], lists], ["k", "node", "bands"])
 
@@ -210,23 +214,66 @@ def blocks(n: F.Column, seed: int, size: int = 200) -> F.Column:
     return F.pmod(F.xxhash64("node", F.lit(seed)), F.ceil(n / F.lit(size)).cast("long"))
 
 
-def finer_pairs(shared: DataFrame, roots: DataFrame, rows: DataFrame, firsts: DataFrame, bands: int = 80, per_band: int = 12, ahead: int = 31) -> DataFrame:
-    """Pairs (a, b) of nodes of different components that meet in a bucket of finer bands.
+def cells(text: str) -> np.ndarray:
+    """For each reading: how many distinct shingles fall into each cell, then how many shingles."""
+    out = []
+    for s, c in readings(text):
+        at = (s % np.uint64(CELLS)).astype(np.int64)
+        out += [np.bincount(at, minlength=CELLS), np.bincount(at, weights=c, minlength=CELLS)]
+    return np.array(out).astype(np.int32)
+
+
+def possible(x: np.ndarray, others: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the others may be similar enough to x, all given by cells: False only where no reading can reach the threshold.
+
+    With at most c common shingles, the Jaccard of sets is at most c / (all - c). The probability Jaccard is at most the
+    sum of the lesser probabilities; it is the Jaccard of sets where no shingle repeats."""
+    out = np.zeros(len(others), bool)
+    for r in range(0, len(x), 2):
+        many, all_ = x[r].sum(), others[:, r].sum(axis=1)
+        common = np.minimum(x[r], others[:, r]).sum(axis=1)
+        out |= common >= threshold * (many + all_ - common) - 1e-6
+        total, totals = x[r + 1].sum(), others[:, r + 1].sum(axis=1)
+        repeats = np.flatnonzero(((total > many) | (totals > all_)) & (total > 0) & (totals > 0) & ~out)
+        if len(repeats):
+            out[repeats] = np.minimum(x[r + 1] / total, others[repeats, r + 1] / totals[repeats, None]).sum(axis=1) >= threshold - 1e-6
+    return out
+
 
-    Taken are the nodes of buckets of more than 16 members that hold more than one component. Their texts get signatures
-    of their own; a pair of similarity 0.8 meets with probability 0.9966, one of 0.6 with 0.16. Within a finer bucket
-    each member is paired with the next 31, in an order of the bucket's own: pairs stay linear in its size."""
+def crowd_pairs(shared: DataFrame, roots: DataFrame, rows: DataFrame, firsts: DataFrame, threshold: float, size: int = 250) -> DataFrame:
+    """All pairs (a, b) of nodes of different components that share a bucket of more than 16 members and may be links.
+
+    A bucket's members are dealt over blocks of about size; each pair of blocks is a group of rows of its own."""
     labelled = shared.filter("n > 16").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    nodes = written(labelled.join(open_, "key").select("node", "root").distinct(), "open")
-    heads = nodes.join(firsts, "node").select("node", F.col("first").alias("f"))
-    texts = rows.join(heads, "node").filter(F.col("k").eqNullSafe(F.col("f"))).select("k", "node", "t").dropDuplicates(["node"])
-    members = written(banded(texts, bands, per_band, seed=1).select("node", F.explode("bands").alias("key")).join(nodes, "node"), "finer")
-    mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi").select("key", "n")
-    beside = Window.partitionBy("key", "block").orderBy(F.xxhash64("node", "key"), "node").rowsBetween(1, ahead)
-    near = members.join(mixed, "key").withColumn("block", blocks(F.col("n"), 3)).withColumn("next", F.collect_list(F.struct("node", "root")).over(beside))
-    across = near.select(F.col("node").alias("x"), F.explode(F.filter("next", lambda e: e["root"] != F.col("root"))).alias("e")).select("x", F.col("e.node").alias("y"))
-    return across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    members = written(labelled.join(open_, "key").select("key", "n", "node", "root"), "open")
+    heads = members.select("node").distinct().join(firsts, "node").select("node", F.col("first").alias("f"))
+    texts = rows.join(heads, "node").filter(F.col("k").eqNullSafe(F.col("f"))).select("node", "t").dropDuplicates(["node"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "t", 2 << 20):
+            yield pa.RecordBatch.from_arrays([part["node"], pa.array([cells(t).tobytes() for t in texts_of(part, "t")], pa.binary())], ["node", "cells"])
+
+    counted = written(texts.mapInArrow(count, "node binary, cells binary"), "cells")
+    many = F.ceil(F.col("n") / F.lit(size)).cast("int")
+    dealt = members.join(counted, "node").withColumn("block", F.pmod(F.xxhash64("node", "key"), many).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), many - 1)))
+    met = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "cells")
+
+    def meet(group: pa.Table) -> pa.Table:
+        block, node, root = group["block"].to_numpy(), group["node"].to_pylist(), group["root"].to_pylist()
+        label = np.unique(np.array([r.hex() for r in root]), return_inverse=True)[1]
+        own = np.stack([np.frombuffer(c, np.int32) for c in group["cells"].to_pylist()]).reshape(len(node), -1, CELLS)
+        a, b = [], []
+        for x in np.flatnonzero(block == block.min()).tolist() if label.any() else ():
+            # within one block each pair once, else the first block's members with the second's
+            apart = np.arange(len(node)) > x if block.min() == block.max() else block != block[x]
+            ys = np.flatnonzero(apart & (label != label[x]))
+            for y in ys[possible(own[x], own[ys], threshold)].tolist():
+                a.append(min(node[x], node[y]))
+                b.append(max(node[x], node[y]))
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return met.groupBy("key", "i", "j").applyInArrow(meet, "a binary, b binary").distinct()
 
 
 def class_tables(docs: DataFrame, threshold: float, bands: int, per_band: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -265,8 +312,8 @@ def class_tables(docs: DataFrame, threshold: float, bands: int, per_band: int, k
         links = links.union(again)
         roots = written(components(links), "roots")
 
-    finer = written(finer_pairs(shared, roots, rows, firsts).join(pairs.union(more), ["a", "b"], "left_anti"), "pairs")
-    last = written(verified(finer, rows, firsts, threshold), "links")
+    crowds = written(crowd_pairs(shared, roots, rows, firsts, threshold).join(pairs.union(more), ["a", "b"], "left_anti"), "pairs")
+    last = written(verified(crowds, rows, firsts, threshold), "links")
     if not last.isEmpty():
         links = links.union(last)
         roots = written(components(links), "roots")

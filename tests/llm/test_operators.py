@@ -345,6 +345,39 @@ def test_near_dedup_in_large_buckets(spark):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
+def test_near_dedup_in_crowds(spark):
+    """Pairs of alike texts scattered over a crowd of 1300 that share a passage too short to link them: every pair is found."""
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choices("abcdefghijklmnop", k=6))
+    base, texts = [word() for _ in range(133)], []
+    for _ in range(650):
+        own = [word() for _ in range(7)]
+        # the two have 136 of 150 shingles in common, any two others 129
+        texts += [" ".join([*base, *own, *(word() for _ in range(14))]) for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert near_dedup.similarity(texts[0], texts[1]) >= 0.8 > near_dedup.similarity(texts[0], texts[2])
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert [i for i in range(1300) if got[i] != i - i % 2] == []
+
+
+def test_possible_pairs():
+    """The bound never rules out a pair whose similarity reaches the threshold."""
+    draw = random.Random(6)
+    base = [draw.choice("abcdefgh") * draw.randrange(1, 5) + draw.choice(("", "", ".")) for _ in range(90)]
+    texts = ["", "!", "? !", "a"]
+    for _ in range(30):
+        x = list(base)
+        for _ in range(draw.randrange(8)):
+            at = draw.randrange(len(x))
+            x[at : at + draw.randrange(3)] = draw.choice(([], ["new"], x[at : at + 20], [x[at] + "!"]))
+        texts.append(" ".join(x))
+    own = np.stack([near_dedup.cells(t) for t in texts])
+    for i, t in enumerate(texts):
+        for threshold in (0.5, 0.8, 1.0):
+            may = near_dedup.possible(own[i], own, threshold)
+            assert all(m or near_dedup.similarity(t, u) < threshold for m, u in zip(may, texts, strict=True))
+
+
 def test_pipeline(spark, none):
     import corpus_pipeline
 
