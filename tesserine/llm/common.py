@@ -62,6 +62,14 @@ def dropped(df: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like the given one that no column of df has, in any spelling."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system and path of a URI (file:, hdfs:, s3: and what else Arrow reads); executors use it for raw files."""
     if "://" not in uri and not uri.startswith("file:"):

@@ -1,73 +1,131 @@
 """Near-duplicate detection by ProbMinHash over weighted word shingles, banding and exact verification.
 
-Signature. A text's shingles are its runs of five words (lower-cased, parted by ASCII white space; a shorter text is
-one shingle), weighted by how often they occur. A shingle of weight w is a Poisson process of rate w whose arrivals fall on random
-components of the signature; a component keeps the shingle that arrived first. Two texts agree in a component with the
-probability Jaccard similarity of their weight distributions. Arrivals after the latest first arrival of all components
-change nothing, so a text ends its processes there.
+Similarity. A text is read twice: as words parted by ASCII white space, and as bare words (runs of letters and digits),
+both lower-cased. A reading's shingles are its runs of five words; a shorter text is one shingle. Two texts are as
+similar as the most alike of: the probability Jaccard of their shingle counts, and the Jaccard of their shingle sets, in
+either reading. A pair is a link if that is 0.8 or more (threshold). Bare readings without any word are alike to nothing.
+
+Signature. A shingle of weight w is a Poisson process of rate w whose arrivals fall on random components of the
+signature; a component keeps the shingle that arrived first. Two texts agree in a component with the probability Jaccard
+similarity of their weights. Arrivals after the latest first arrival of all components change nothing, so a text ends
+its processes there. Every measure has signatures of its own: for each reading one of the counts and, where shingles
+repeat, one of the set (all weights 1; where nothing repeats the two are the same).
 
 Banding. Components are banded (25 bands of 5: a pair of similarity 0.8 meets with probability 0.99995). Equal texts are
 one node from the start. In each bucket, all members are compared with one centre, the member that meets most texts in
-all its buckets, and with their neighbours in digest order, within blocks of a large bucket. Buckets whose members
-aren't then all in one component are gone through again, each member against those of other components among the
-next 15 (the next 5 in a bucket of more than 16), in an order of the bucket's own and within blocks. These two rounds
-are linear in a bucket's size and join most of what belongs together; a bucket of up to 16 texts has every pair compared
-that could still change the components. In larger buckets that still hold several components, every pair across
-components is then looked at, in pairs of blocks spread over tasks, and compared unless a bound rules it out: shingles are
-counted in 128 cells, and what two texts have in common is at most the sum of the lesser counts. So no link between
-texts that share a bucket is missing from the classes; the looking takes time in proportion to the square of a crowd.
-
-Verification. A pair is a link if its similarity is 0.8 or more: the probability Jaccard of shingle counts or the
-Jaccard of shingle sets, for words as written or for words bare of punctuation, whichever is highest.
-
-Classes are the connected components of links, found by alternating stars; tables between steps are files in the
-shared folder. No pair, link or component passes through the driver.
+all its buckets; this is linear in a bucket's size and joins most of what belongs together.
+
+The rest of a bucket. Texts in buckets whose members are then not all in one component are compared by an exact join on
+rare shingles. Their shingles are put in one order, rare ones first (by a count table of fixed size; any order would be
+right, this one makes groups small). What precedes the first shingle that two texts have in common is not common, so a
+link has less than 1 - threshold of either text's weight before it: only shingles up to there are looked at, and a pair
+is compared only where the weights a and b before its common shingle allow a similarity of
+min(1 / (1/(1-a) + b/(1-b)), 1 / (a/(1-a) + 1/(1-b))), at most reached, of threshold or more, and where parities allow it:
+a text's shingles are dealt over 512 bits, each bit says whether their number is odd, and two sets differ in at least as
+many shingles as their bits differ. So no link between such texts is missing from the classes, wherever in a bucket they
+are and however large it is; what many texts share comes last in their order and makes no pairs.
+
+Verification. All pairs are compared exactly, by whole texts. Classes are the connected components of links, found by
+alternating stars; tables between steps are files in the shared folder. No pair, link or component passes through the
+driver.
 
 Defined results: null text counts as empty; empty texts are equal texts, thus one class. Every row has a result;
 repeated rows and equal ids get equal classes if their texts are equal. A class is named by its smallest id (null only
-if it has no other). Ties among centres go to the larger digest. Other columns are not read.
+if it has no other). Ties among centres go to the larger digest. Very long texts are read whole. Other columns are not
+read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import Tokens, hash_strings, mix, slices, texts_of, words, written
+from tesserine.llm.common import Tokens, dropped, hash_strings, mix, ragged, slices, texts_of, unused, words, written
 
 SHINGLE = 5
 BARE = regex.compile(r"[\p{L}\p{N}]+")
 #: Shingles (16 bytes each) that a worker keeps of the texts it has compared.
 KEPT = 2_000_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Cells in which a text's shingles are counted.
-CELLS = 128
+#: Cells of the table of shingle counts (a byte each, broadcast): more shingles only make the order less exact.
+CELLS = 1 << 22
+#: Bits of the parities of a text's shingles, and the columns that hold them.
+BITS = 512
+PARITIES = [f"p{i}" for i in range(BITS // 64)]
+#: Rows of a shingle's group that are dealt to one task at a time.
+BLOCK = 500
 
 
-def weighted_shingles(lists: list[list[str]], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the distinct shingles and their counts, text after text, and each text's number of distinct shingles."""
-    t = Tokens(lists)
-    h = hash_strings(t.words)[t.codes] if len(t.codes) else np.zeros(0, np.uint64)
-    lengths = np.diff(t.bounds)
+def shingled(hashes: np.ndarray, bounds: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles (ascending) and their counts, text after text, and each text's number of distinct shingles.
+
+    hashes: those of the texts' words; bounds: where each text begins and ends among them."""
+    lengths = np.diff(bounds)
     each = np.where(lengths > 0, np.maximum(1, lengths - n + 1), 0)
-    first = np.repeat(t.bounds[:-1], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-    last = np.repeat(t.bounds[1:], each)
+    first = ragged(bounds[:-1], each)
+    last = np.repeat(bounds[1:], each)
     s = np.zeros(len(first), np.uint64)
     for j in range(n):
         there = first + j < last
-        s = mix(s + np.where(there, h[np.minimum(first + j, max(0, len(h) - 1))], np.uint64(j)) if len(h) else s)
-    owner = np.repeat(np.arange(len(lists)), each)
+        s = mix(s + np.where(there, hashes[np.minimum(first + j, max(0, len(hashes) - 1))], np.uint64(j)) if len(hashes) else s)
+    owner = np.repeat(np.arange(len(lengths)), each)
     order = np.lexsort((s, owner))
     s, owner = s[order], owner[order]
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1]) | (owner[1:] != owner[:-1])
     starts = np.flatnonzero(new)
-    return s[starts], np.diff(np.append(starts, len(s))), np.bincount(owner[starts], minlength=len(lists))
+    return s[starts], np.diff(np.append(starts, len(s))), np.bincount(owner[starts], minlength=len(lengths))
+
+
+def readings_of(texts: list[str]) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The shingles of all texts for words as written and for bare words."""
+    t = Tokens([words(x.lower()) for x in texts])
+    written_ = hash_strings(t.words)
+    bare = [[w] if w.isalnum() else BARE.findall(w) for w in t.words]
+    pieces = Tokens(bare)
+    piece_hashes = hash_strings(pieces.words)[pieces.codes] if len(pieces.codes) else np.zeros(0, np.uint64)
+    many = np.diff(pieces.bounds)[t.codes] if len(t.codes) else np.zeros(0, np.int64)
+    own = piece_hashes[ragged(pieces.bounds[:-1][t.codes], many)] if len(t.codes) else np.zeros(0, np.uint64)
+    ends = np.concatenate([[0], np.cumsum(many)])
+    return shingled(written_[t.codes] if len(t.codes) else np.zeros(0, np.uint64), t.bounds), shingled(own, ends[t.bounds])
+
+
+def measured(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct weightings of each text: the text of each weighting, hashes, weights, and each weighting's size.
+
+    Those are the counts of words as written; the set of these where some repeat; and both for bare words where the
+    shingles differ and there are any."""
+    owners, hashes, weights, sizes = [], [], [], []
+    first: tuple | None = None
+    for s, c, n in readings_of(texts):
+        bounds = np.concatenate([[0], np.cumsum(n)])
+        take = np.ones(len(texts), bool)
+        if first is not None:
+            fs, fc, fn, fb = first
+            same = n == fn
+            # of texts with as many shingles: whether all shingles and counts agree
+            at = np.flatnonzero(same & (n > 0))
+            x, y = ragged(bounds[at], n[at]), ragged(fb[at], n[at])
+            alike = (s[x] == fs[y]) & (c[x] == fc[y])
+            same[at] = np.add.reduceat(alike.astype(np.int64), np.cumsum(n[at]) - n[at]) == n[at] if len(at) else same[at]
+            take = ~same & (n > 0)
+        repeats = np.zeros(len(texts), bool)
+        repeats[np.repeat(np.arange(len(texts)), n)[c > 1]] = True
+        for which, w in ((take, c), (take & repeats, np.ones_like(c))):
+            at = np.flatnonzero(which)
+            rows = ragged(bounds[at], n[at])
+            owners.append(at)
+            hashes.append(s[rows])
+            weights.append(w[rows])
+            sizes.append(n[at])
+        first = first or (s, c, n, bounds)
+    return np.concatenate(owners), np.concatenate(hashes), np.concatenate(weights), np.concatenate(sizes)
 
 
 def uniform(x: np.ndarray) -> np.ndarray:
@@ -108,19 +166,24 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def jaccards(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """The larger of the set Jaccard and the probability Jaccard of two texts' shingles (hashes, counts)."""
+    """The larger of the set Jaccard and the probability Jaccard of two texts' shingles (hashes ascending, counts)."""
     if not len(a[0]) or not len(b[0]):
         return float(len(a[0]) == len(b[0]))
-    common, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    plain = len(common) / (len(a[0]) + len(b[0]) - len(common))
-    if plain >= 1 or not len(common):
+    if len(a[0]) > len(b[0]):
+        a, b = b, a
+    j = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    i = np.flatnonzero(b[0][j] == a[0])
+    j = j[i]
+    plain = len(i) / (len(a[0]) + len(b[0]) - len(i))
+    if plain >= 1 or not len(i):
         return plain
-    wa, wb = a[1][i].astype(float), b[1][j].astype(float)
-    if (wa == 1).all() and (wb == 1).all() and a[1].sum() == len(a[0]) and b[1].sum() == len(b[0]):
+    total_a, total_b = a[1].sum(), b[1].sum()
+    if total_a == len(a[0]) and total_b == len(b[0]):
         return plain
+    wa, wb = a[1][i].astype(float), b[1][j].astype(float)
     # for a common shingle d, the sum over all shingles e of max(a_e / a_d, b_e / b_d): those with a_e / b_e above
     # d's ratio count by a, the others by b
-    only_a, only_b = a[1].sum() - wa.sum(), b[1].sum() - wb.sum()
+    only_a, only_b = total_a - wa.sum(), total_b - wb.sum()
     ratio = wa / wb
     order = np.argsort(ratio)
     sa, sb, r = wa[order], wb[order], ratio[order]
@@ -129,18 +192,24 @@ def jaccards(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return max(plain, float((1 / (high / sa + low / sb)).sum()))
 
 
-def readings(text: str) -> list[tuple[np.ndarray, np.ndarray]]:
-    """A text's weighted shingles for words as written and for bare words."""
-    lower = text.lower()
-    out = []
-    for w in (words(lower), BARE.findall(lower)):
-        s, c, _ = weighted_shingles([w])
-        out.append((s, c))
+def readings(texts: list[str]) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """Each text's shingles and counts, for words as written and for bare words."""
+    out: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in texts]
+    for s, c, n in readings_of(texts):
+        bounds = np.concatenate([[0], np.cumsum(n)]).tolist()
+        for own, x, y in zip(out, bounds, bounds[1:]):
+            own.append((s[x:y], c[x:y]))
     return out
 
 
+def likeness(x: list[tuple[np.ndarray, np.ndarray]], y: list[tuple[np.ndarray, np.ndarray]]) -> float:
+    """The similarity of two texts by their readings."""
+    as_written, bare = zip(x, y, strict=True)
+    return max(jaccards(*as_written), jaccards(*bare) if len(bare[0][0]) and len(bare[1][0]) else 0.0)
+
+
 def similarity(a: str, b: str) -> float:
-    return max(jaccards(x, y) for x, y in zip(readings(a), readings(b), strict=True))
+    return likeness(*readings([a, b]))
 
 
 def text_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -150,187 +219,166 @@ def text_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def banded(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
-    """The band keys of each row's text."""
+    """The distinct band keys of each row's text, for all its weightings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t", 2 << 20):
-            s, c, sizes = weighted_shingles([words(x.lower()) for x in texts_of(part, "t")])
-            keys = band_keys(signatures(s, c, sizes, bands * per_band), bands, per_band)
-            lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands).astype(np.int32), pa.array(keys.ravel(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([part["k"], part["node"], lists], ["k", "node", "bands"])
+            owner, s, w, sizes = measured(texts_of(part, "t"))
+            keys = band_keys(signatures(s, w, sizes, bands * per_band), bands, per_band)
+            pairs = np.stack([np.repeat(owner, bands), keys.ravel()])
+            pairs = pairs[:, np.lexsort((pairs[1], pairs[0]))]
+            new = np.ones(pairs.shape[1], bool)
+            new[1:] = (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)
+            pairs = pairs[:, new]
+            ends = np.searchsorted(pairs[0], np.arange(part.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part["k"], part["node"], pa.ListArray.from_arrays(ends, pa.array(pairs[1], pa.int64()))], ["k", "node", "bands"])
 
     return rows.mapInArrow(run, "k long, node binary, bands array<long>")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts are similar enough. firsts: a node's first id, by which its text is found."""
-    involved = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(firsts, "node")
-    texts = rows.join(involved.withColumnRenamed("first", "f"), ["node"]).filter(F.col("k").eqNullSafe(F.col("f"))).select("node", "t")
-    texts = written(texts, "texts")
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts (node, t) are similar enough."""
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict[bytes, list] = {}
+        known: dict[bytes, list] = {}
         held = 0
-        for part in slices(batches, "tb", 8 << 20):
-            keep = []
-            for a, b, ta, tb in zip(*(part[c].to_pylist() for c in ("a", "b", "ta", "tb")), strict=True):
-                if held > KEPT:
-                    last.clear()
-                    held = 0
-                for node, t in ((a, ta), (b, tb)):
-                    if node not in last:
-                        last[node] = readings(t)
-                        held += 64 + sum(len(s) for s, _ in last[node])
-                keep.append(max(jaccards(x, y) for x, y in zip(last[a], last[b], strict=True)) >= threshold)
+        for part in slices(batches, "tb", 4 << 20):
+            if held > KEPT:
+                known.clear()
+                held = 0
+            nodes = [part[c].to_pylist() for c in ("a", "b")]
+            new: dict[bytes, str] = {}
+            for column, ids in zip(("ta", "tb"), nodes, strict=True):
+                at = {x: i for i, x in enumerate(ids) if x not in known and x not in new}
+                new |= zip(at, part[column].take(pa.array(list(at.values()), pa.int64())).to_pylist(), strict=True)
+            known |= zip(new, readings(list(new.values())), strict=True)
+            held += sum(64 + len(s) for x in new for s, _ in known[x])
+            keep = [likeness(known[a], known[b]) >= threshold for a, b in zip(*nodes, strict=True)]
             yield pa.RecordBatch.from_arrays([part["a"], part["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def components(links: DataFrame, most: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, root: the smallest node of each linked node's component, by alternating large and small stars."""
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    state = None
-    for _ in range(most):
+    state = now = None
+    while state is None or now != state:
+        state = now
         near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = near.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = written(small.filter("u <> v").distinct(), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
-            break
-        state = tuple(now)
-    else:
-        raise RuntimeError("the components didn't settle")
+        before, edges = edges, written(small.filter("u <> v").distinct(), "edges")
+        dropped(before)
+        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     roots = edges.groupBy("u").agg(F.min("v").alias("root"))
     return roots.select(F.col("u").alias("node"), "root").union(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def blocks(n: F.Column, seed: int, size: int = 200) -> F.Column:
-    """The block of a bucket's member: large buckets are dealt over blocks of about that size."""
-    return F.pmod(F.xxhash64("node", F.lit(seed)), F.ceil(n / F.lit(size)).cast("long"))
-
-
-def cells(text: str) -> np.ndarray:
-    """For each reading: how many distinct shingles fall into each cell, then how many shingles."""
-    out = []
-    for s, c in readings(text):
-        at = (s % np.uint64(CELLS)).astype(np.int64)
-        out += [np.bincount(at, minlength=CELLS), np.bincount(at, weights=c, minlength=CELLS)]
-    return np.array(out).astype(np.int32)
-
+def counted(texts: DataFrame) -> np.ndarray:
+    """A byte for each cell of shingles: four times the binary logarithm of how often its shingles occur in the texts."""
 
-def possible(x: np.ndarray, others: np.ndarray, threshold: float) -> np.ndarray:
-    """Which of the others may be similar enough to x, all given by cells: False only where no reading can reach the threshold.
-
-    With at most c common shingles, the Jaccard of sets is at most c / (all - c). The probability Jaccard is at most the
-    sum of the lesser probabilities; it is the Jaccard of sets where no shingle repeats."""
-    out = np.zeros(len(others), bool)
-    for r in range(0, len(x), 2):
-        many, all_ = x[r].sum(), others[:, r].sum(axis=1)
-        common = np.minimum(x[r], others[:, r]).sum(axis=1)
-        out |= common >= threshold * (many + all_ - common) - 1e-6
-        total, totals = x[r + 1].sum(), others[:, r + 1].sum(axis=1)
-        repeats = np.flatnonzero(((total > many) | (totals > all_)) & (total > 0) & (totals > 0) & ~out)
-        if len(repeats):
-            out[repeats] = np.minimum(x[r + 1] / total, others[repeats, r + 1] / totals[repeats, None]).sum(axis=1) >= threshold - 1e-6
-    return out
-
-
-def crowd_pairs(shared: DataFrame, roots: DataFrame, rows: DataFrame, firsts: DataFrame, threshold: float, size: int = 250) -> DataFrame:
-    """All pairs (a, b) of nodes of different components that share a bucket of more than 16 members and may be links.
-
-    A bucket's members are dealt over blocks of about size; each pair of blocks is a group of rows of its own."""
-    labelled = shared.filter("n > 16").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    members = written(labelled.join(open_, "key").select("key", "n", "node", "root"), "open")
-    heads = members.select("node").distinct().join(firsts, "node").select("node", F.col("first").alias("f"))
-    texts = rows.join(heads, "node").filter(F.col("k").eqNullSafe(F.col("f"))).select("node", "t").dropDuplicates(["node"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "t"):
+            cell, n = np.unique(np.concatenate([s % np.uint64(CELLS) for s, _, _ in readings_of(texts_of(part, "t"))]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(n, pa.int64())], ["cell", "n"])
+
+    sums = texts.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).filter("n > 1")
+    got = sums.select("cell", F.round(4 * F.log2("n")).cast("short").alias("level")).toArrow()  # at most CELLS rows
+    levels = np.zeros(CELLS, np.uint8)
+    levels[got["cell"].to_numpy()] = got["level"].to_numpy()
+    return levels
+
+
+def rare_shingles(texts: list[str], levels: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles that may be the first which a text has in common with a similar one: the text, the shingle, the share
+    of the text's weight that precedes it; and of its weighting the number of shingles (0 if weights differ) and parities."""
+    owner, s, w, sizes = measured(texts)
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((s, levels[s % np.uint64(CELLS)], which))
+    s, w = s[order], w[order].astype(float)
+    total = np.bincount(which, weights=w, minlength=len(sizes))
+    before = np.cumsum(w) - w
+    starts = np.cumsum(sizes) - sizes
+    share = (before - np.repeat(before[starts[sizes > 0]], sizes[sizes > 0])) / total[which]
+    near = share <= 1 - threshold + 1e-9
+    sets = np.where(total == sizes, sizes, 0)
+    odd = np.bincount(which * BITS + (s % np.uint64(BITS)).astype(np.int64), minlength=len(sizes) * BITS).astype(np.uint8) & 1
+    parities = np.packbits(odd.reshape(len(sizes), BITS), axis=1).view(np.int64)
+    which = which[near]
+    return owner[which], s[near], share[near], sets[which], parities[which]
+
+
+def rest_pairs(open_: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of nodes of different components that may be links. open_: node, root, t."""
+    shared = open_.sparkSession.sparkContext.broadcast(counted(open_))  # CELLS bytes
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t", 2 << 20):
-            yield pa.RecordBatch.from_arrays([part["node"], pa.array([cells(t).tobytes() for t in texts_of(part, "t")], pa.binary())], ["node", "cells"])
-
-    counted = written(texts.mapInArrow(count, "node binary, cells binary"), "cells")
-    many = F.ceil(F.col("n") / F.lit(size)).cast("int")
-    dealt = members.join(counted, "node").withColumn("block", F.pmod(F.xxhash64("node", "key"), many).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), many - 1)))
-    met = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "cells")
-
-    def meet(group: pa.Table) -> pa.Table:
-        block, node, root = group["block"].to_numpy(), group["node"].to_pylist(), group["root"].to_pylist()
-        label = np.unique(np.array([r.hex() for r in root]), return_inverse=True)[1]
-        own = np.stack([np.frombuffer(c, np.int32) for c in group["cells"].to_pylist()]).reshape(len(node), -1, CELLS)
-        a, b = [], []
-        for x in np.flatnonzero(block == block.min()).tolist() if label.any() else ():
-            # within one block each pair once, else the first block's members with the second's
-            apart = np.arange(len(node)) > x if block.min() == block.max() else block != block[x]
-            ys = np.flatnonzero(apart & (label != label[x]))
-            for y in ys[possible(own[x], own[ys], threshold)].tolist():
-                a.append(min(node[x], node[y]))
-                b.append(max(node[x], node[y]))
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    return met.groupBy("key", "i", "j").applyInArrow(meet, "a binary, b binary").distinct()
+            owner, s, share, sets, parities = rare_shingles(texts_of(part, "t"), shared.value, threshold)
+            at = pa.array(owner)
+            columns = [part["node"].take(at), part["root"].take(at), pa.array(s.view(np.int64)), pa.array(share), pa.array(sets, pa.int64()), *(pa.array(np.ascontiguousarray(x)) for x in parities.T)]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "root", "s", "share", "sets", *PARITIES])
+
+    rare = written(open_.mapInArrow(run, f"node binary, root binary, s long, share double, sets long, {', '.join(f'{p} long' for p in PARITIES)}"), "rare")
+    groups = rare.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("share").alias("least"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    most = lambda a, b: F.least(1 / (1 / (1 - a) + b / (1 - b)), 1 / (a / (1 - a) + 1 / (1 - b))) >= threshold - 1e-9
+    live = written(rare.join(groups.filter("lo <> hi").select("s", "n", "least"), "s").filter(most(F.col("share"), F.col("least"))), "rare")
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    kept = ["node", "root", "share", "sets", *PARITIES]
+    left = live.select("s", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), *(F.col(c).alias(f"a_{c}") for c in kept))
+    right = live.select("s", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *(F.col(c).alias(f"b_{c}") for c in kept))
+    differ = reduce(Column.__add__, (F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in PARITIES))
+    few = (F.col("a_sets") == 0) | (F.col("b_sets") == 0) | (differ <= (1 - threshold) / (1 + threshold) * (F.col("a_sets") + F.col("b_sets")) + 1e-6)
+    met = left.join(right, ["s", "block"]).filter((F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & most(F.col("a_share"), F.col("b_share")) & few)
+    return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
 
 
 def class_tables(docs: DataFrame, threshold: float, bands: int, per_band: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """k and node of every row; and of every node its class_id, class_size, n_links and whether it is the class's first."""
+    """k and node of every row; and of every node its class_id, class_size and whether it is the class's first."""
     rows = text_rows(docs, key, text)
     found = written(banded(rows, bands, per_band), "bands")
     nodes = written(found.groupBy("node").agg(F.min("k").alias("first"), F.min("bands").alias("bands")), "nodes")
-    firsts = nodes.select("node", "first")
 
     members = nodes.select("node", F.explode("bands").alias("key"))
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = written(members.join(sizes, "key"), "buckets")
-    meets = shared.groupBy("node").agg(F.sum("n").alias("meets"))
-    placed = written(shared.join(meets, "node"), "placed")
+    meets = shared.groupBy("node").agg(F.sum("n").alias("meets")).join(nodes.select("node", "first"), "node")
+    meets = written(meets, "meets")
+    heads = meets.select("node", F.col("first").alias("f"))
+    texts = written(rows.join(heads, "node").filter(F.col("k").eqNullSafe(F.col("f"))).select("node", "t").dropDuplicates(["node"]), "texts")
+
+    placed = written(shared.join(meets.select("node", "meets"), "node"), "placed")
     centres = placed.groupBy("key").agg(F.max(F.struct("meets", "node")).alias("c")).select("key", F.col("c.node").alias("centre"))
-    to_centre = placed.join(centres, "key").select(F.col("node").alias("x"), F.col("centre").alias("y"))
-    beside = Window.partitionBy("key", "block").orderBy("node")
-    to_next = shared.withColumn("block", blocks(F.col("n"), 1)).select(F.col("node").alias("x"), F.lead("node").over(beside).alias("y")).filter("y IS NOT NULL")
-    unordered = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
-    pairs = written(to_centre.union(to_next).filter("x <> y").select(*unordered).distinct(), "pairs")
-    links = written(verified(pairs, rows, firsts, threshold), "links")
+    pairs = placed.join(centres, "key").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).filter("a <> b").distinct()
+    pairs = written(pairs, "pairs")
+    links = written(verified(pairs, texts, threshold), "links")
     roots = written(components(links), "roots")
 
     labelled = shared.filter("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     labelled = written(labelled, "labelled")
     open_ = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    # another order in each bucket, so that two texts that meet often have many neighbours between them
-    order = F.xxhash64("node", "key")
-    ahead = Window.partitionBy("key", "block").orderBy(order, "node").rowsBetween(1, 15)
-    near = F.when(F.col("n") <= 16, 15).otherwise(5)
-    rest = labelled.join(open_, "key").withColumn("block", blocks(F.col("n"), 2)).withColumn("next", F.slice(F.collect_list(F.struct("node", "root")).over(ahead), F.lit(1), near))
-    more = rest.select(F.col("node").alias("x"), F.explode(F.filter("next", lambda e: e["root"] != F.col("root"))).alias("e")).select("x", F.col("e.node").alias("y"))
-    more = written(more.select(*unordered).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    again = written(verified(more, rows, firsts, threshold), "links")
-    if not again.isEmpty():
-        links = links.union(again)
-        roots = written(components(links), "roots")
-
-    crowds = written(crowd_pairs(shared, roots, rows, firsts, threshold).join(pairs.union(more), ["a", "b"], "left_anti"), "pairs")
-    last = written(verified(crowds, rows, firsts, threshold), "links")
-    if not last.isEmpty():
-        links = links.union(last)
-        roots = written(components(links), "roots")
-
-    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    apart = labelled.join(open_, "key").select("node", "root").distinct().join(texts, "node").select("node", "root", "t")
+    rest = written(rest_pairs(written(apart, "apart"), threshold).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = written(verified(rest, texts, threshold), "links")
+    if not more.isEmpty():
+        roots = written(components(links.union(more)), "roots")
+
     copies = found.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("k").alias("first"))
-    own = copies.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(degree, "node", "left")
+    own = copies.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     order = F.struct(F.col("first").isNull(), "first", "node")
     classes = own.groupBy("root").agg(F.min(order).alias("head"), F.sum("copies").alias("class_size"))
-    by_node = own.join(classes, "root").select("node", F.col("head.first").alias("class_id"), "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("head.node") == F.col("node")).alias("is_head"))
+    by_node = own.join(classes, "root").select("node", F.col("head.first").alias("class_id"), "class_size", (F.col("head.node") == F.col("node")).alias("is_head"))
     return found.select("k", "node"), by_node
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 25, per_band: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, class_id, class_size, n_links (of its text to other texts, as far as tested) for every row."""
+    """doc_id, class_id and class_size for every row."""
     found, by_node = class_tables(docs, threshold, bands, per_band, key, text)
-    return found.join(by_node, "node").select(F.col("k").alias("doc_id"), "class_id", "class_size", "n_links")
+    return found.join(by_node, "node").select(F.col("k").alias("doc_id"), "class_id", "class_size")
 
 
 def deduplicated(docs: DataFrame, threshold: float = 0.8, bands: int = 25, per_band: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -338,8 +386,9 @@ def deduplicated(docs: DataFrame, threshold: float = 0.8, bands: int = 25, per_b
 
     Texts are looked up by id and digest; of rows that agree in both, one stays."""
     _, by_node = class_tables(docs, threshold, bands, per_band, key, text)
-    heads = by_node.filter("is_head").select(F.col("node").alias("__node"), F.col("class_id").alias("__first"))
-    keyed = docs.withColumns({"__k": F.col(key).cast("long"), "__digest": F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))})
-    kept = keyed.join(heads, (F.col("__digest") == F.col("__node")) & F.col("__k").eqNullSafe(F.col("__first")))
-    one = Window.partitionBy("__digest", "__k").orderBy(F.lit(1))
-    return kept.withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(*docs.columns)
+    node, first, k, digest, n = (unused(docs, x) for x in ("node", "first", "k", "digest", "n"))
+    heads = by_node.filter("is_head").select(F.col("node").alias(node), F.col("class_id").alias(first))
+    keyed = docs.withColumns({k: F.col(key).cast("long"), digest: F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))})
+    kept = keyed.join(heads, (F.col(digest) == F.col(node)) & F.col(k).eqNullSafe(F.col(first)))
+    one = Window.partitionBy(digest, k).orderBy(F.lit(1))
+    return kept.withColumn(n, F.row_number().over(one)).filter(F.col(n) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -13,30 +13,16 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tesserine.llm import decontaminate, language_id, lm_scoring, near_dedup, quality, sentencepieces, token_counts, token_shards, topk_search, warc
+from tesserine.llm import decontaminate, language_id, lm_scoring, quality, sentencepieces, token_counts, token_shards, topk_search, warc
 from tesserine.llm.common import crc_mod
 from tesserine.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, t string, k int"
-ODD = [None, "", " ", "a", "A b  c", "\n\n", "naïve <s> </s> ▁x", "日本語 🙂", "word " * 3000, "same text here for all of us", "same text here for all of us"]
-
-
-@pytest.fixture(scope="module")
-def odd(spark):
-    rows = [(i, x, "en" if i % 3 else None, None, None, 1.0, "z", 7) for i, x in enumerate(ODD)]
-    return spark.createDataFrame([*rows, (None, "no id", "en", "s", 1, 0.0, "z", 7), (3, "a", "en", "s", 1, 0.0, "z", 7)], DOCS)
-
-
-@pytest.fixture(scope="module")
-def none(spark):
-    return spark.createDataFrame([], DOCS)
 
 
 def documents(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
 
-
 def test_token_shards(spark, odd, none):
     from tokenizers import Tokenizer
 
@@ -243,7 +229,7 @@ def test_sentencepieces(spark, odd, none):
     path = public_tokenizers.path("piece_bpe_32k.model")
     m = sentencepieces.model(path)
     random.seed(4)
-    texts = [x or "" for x in ODD] + ["".join(random.choice("ab the  \n\té漢🙂▁<s>\r\x00in er") for _ in range(random.randint(1, 90))) for _ in range(300)]
+    texts = [r["text"] or "" for r in odd.collect()] + ["".join(random.choice("ab the  \n\té漢🙂▁<s>\r\x00in er") for _ in range(random.randint(1, 90))) for _ in range(300)]
     for x in texts:
         ids = m.ids_of(x)
         assert ids == [*m.library.encode(x), 2]
@@ -289,95 +275,6 @@ def test_warc_damage():
         warc.row_of(warc.parse_record(record.replace(b"payload\r", b"Payload\r")))
 
 
-def test_near_dedup(spark, odd, none):
-    docs = documents(spark)
-    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
-    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    root = {i: i for i in texts}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    ids = sorted(texts)
-    sets = {i: near_dedup.readings(texts[i]) for i in ids}
-    for i in ids:
-        for j in ids:
-            if i < j and max(near_dedup.jaccards(x, y) for x, y in zip(sets[i], sets[j], strict=True)) >= 0.8:
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    assert got == {i: find(i) for i in ids}
-    assert near_dedup.deduplicated(docs).count() == len(set(got.values()))
-    by = collections.defaultdict(set)
-    for r in near_dedup.near_duplicates(odd).collect():
-        by[r["doc_id"]].add(r["class_id"])
-    assert by[0] == by[1] == {0} and by[9] == by[10] == {9} and by[3] == {3}
-    assert near_dedup.deduplicated(odd).columns == odd.columns
-    assert near_dedup.near_duplicates(none).count() == near_dedup.deduplicated(none).count() == 0
-
-
-def test_near_dedup_in_large_buckets(spark):
-    """Families of alike texts that all share most of a passage: large buckets of many components."""
-    draw = random.Random(5)
-    word = lambda: "".join(draw.choices("abcdefghijklmnop", k=6))
-    base, texts = [word() for _ in range(200)], []
-    for _ in range(80):
-        family = base[:165] + [word() for _ in range(35)]
-        for _ in range(4):
-            at = draw.randrange(150)
-            texts.append(" ".join(family[:at] + [word() for _ in range(draw.randrange(12))] + family[at:]))
-    sets = [near_dedup.readings(t) for t in texts]
-    root = list(range(len(texts)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for j in range(len(texts)):
-        for i in range(j):
-            if max(near_dedup.jaccards(x, y) for x, y in zip(sets[i], sets[j], strict=True)) >= 0.8 and find(i) != find(j):
-                root[max(find(i), find(j))] = min(find(i), find(j))
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
-    assert len(set(got.values())) > 40
-    assert got == {i: find(i) for i in range(len(texts))}
-
-
-def test_near_dedup_in_crowds(spark):
-    """Pairs of alike texts scattered over a crowd of 1300 that share a passage too short to link them: every pair is found."""
-    draw = random.Random(9)
-    word = lambda: "".join(draw.choices("abcdefghijklmnop", k=6))
-    base, texts = [word() for _ in range(133)], []
-    for _ in range(650):
-        own = [word() for _ in range(7)]
-        # the two have 136 of 150 shingles in common, any two others 129
-        texts += [" ".join([*base, *own, *(word() for _ in range(14))]) for _ in range(2)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert near_dedup.similarity(texts[0], texts[1]) >= 0.8 > near_dedup.similarity(texts[0], texts[2])
-    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
-    assert [i for i in range(1300) if got[i] != i - i % 2] == []
-
-
-def test_possible_pairs():
-    """The bound never rules out a pair whose similarity reaches the threshold."""
-    draw = random.Random(6)
-    base = [draw.choice("abcdefgh") * draw.randrange(1, 5) + draw.choice(("", "", ".")) for _ in range(90)]
-    texts = ["", "!", "? !", "a"]
-    for _ in range(30):
-        x = list(base)
-        for _ in range(draw.randrange(8)):
-            at = draw.randrange(len(x))
-            x[at : at + draw.randrange(3)] = draw.choice(([], ["new"], x[at : at + 20], [x[at] + "!"]))
-        texts.append(" ".join(x))
-    own = np.stack([near_dedup.cells(t) for t in texts])
-    for i, t in enumerate(texts):
-        for threshold in (0.5, 0.8, 1.0):
-            may = near_dedup.possible(own[i], own, threshold)
-            assert all(m or near_dedup.similarity(t, u) < threshold for m, u in zip(may, texts, strict=True))
-
-
 def test_pipeline(spark, none):
     import corpus_pipeline
 
