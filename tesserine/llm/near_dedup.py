@@ -58,6 +58,8 @@ CELLS = 1 << 22
 #: Bits of the parities of a text's shingles, and the columns that hold them.
 BITS = 512
 PARITIES = [f"p{i}" for i in range(BITS // 64)]
+#: Bits of the table by which rows whose text is not needed are left out before a shuffle (8 bytes a 64, broadcast).
+SIEVE = 1 << 26
 #: Rows of a shingle's group that are dealt to one task at a time.
 BLOCK = 500
 
@@ -236,6 +238,17 @@ def banded(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
     return rows.mapInArrow(run, "k long, node binary, bands array<long>")
 
 
+def sieved(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose node is in wanted, and some others: those whose hash falls on the bit of one. No shuffle of rows."""
+
+    def place(node: str) -> Column:
+        return F.pmod(F.xxhash64(node), F.lit(SIEVE))
+
+    bits = wanted.select(place("node").alias("h")).groupBy(F.shiftright("h", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 AS int))")).alias("bits"))
+    there = rows.join(F.broadcast(bits), F.shiftright(place("node"), 6) == F.col("word"))  # at most SIEVE / 64 rows
+    return there.filter(F.expr(f"(shiftright(bits, cast(pmod(xxhash64(node), {SIEVE}L) & 63 AS int)) & 1) = 1")).select(*rows.columns)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of nodes whose texts (node, t) are similar enough."""
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
@@ -349,7 +362,7 @@ def class_tables(docs: DataFrame, threshold: float, bands: int, per_band: int, k
     meets = shared.groupBy("node").agg(F.sum("n").alias("meets")).join(nodes.select("node", "first"), "node")
     meets = written(meets, "meets")
     heads = meets.select("node", F.col("first").alias("f"))
-    texts = written(rows.join(heads, "node").filter(F.col("k").eqNullSafe(F.col("f"))).select("node", "t").dropDuplicates(["node"]), "texts")
+    texts = written(sieved(rows, heads).join(heads, "node").filter(F.col("k").eqNullSafe(F.col("f"))).select("node", "t").dropDuplicates(["node"]), "texts")
 
     placed = written(shared.join(meets.select("node", "meets"), "node"), "placed")
     centres = placed.groupBy("key").agg(F.max(F.struct("meets", "node")).alias("c")).select("key", F.col("c.node").alias("centre"))
