@@ -7,13 +7,15 @@ product. Bounds are taken with 1, 4 and 16 segments, coarse to fine; a pair goes
 query's k-th best score so far. Survivors get the exact integer product.
 
 Queries come in blocks of a fixed number of vectors; a block is broadcast (block_rows x dimensions numbers) and every
-candidate partition goes over it, keeping k rows of each query. A block's queries are first scored against each other,
+candidate partition goes over it, keeping k rows of each query. With several blocks, each one's result is written and its
+broadcast freed before the next, so the driver holds one block at a time. A block's queries are first scored against each other,
 which gives each its first threshold. The k best of all partitions then meet in one window over a query's few rows.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part, nor do rows without
 an id. Only vectors of equal length are compared. Candidates with the query's own id are left out; ids that occur
 several times are candidates once for each row, and as a query once (with the smallest vector). Ties go to the smaller
-id. A query without candidates has no rows. Columns other than the id and the vector are not read.
+id. A query without candidates has no rows. Scaled components and scores beyond the range of a long are taken as the
+nearest long, so such scores tie. Columns other than the id and the vector are not read.
 """
 
 from __future__ import annotations
@@ -23,9 +25,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserine.llm.common import written
+
 LEVELS = (1, 4, 16)
 SCHEMA = "query_id long, vec_id long, score long"
 
@@ -61,10 +66,12 @@ def pair_products(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, st
 
 
 def exact_products(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Integer products: in floating point while every sum is below 2^53, else with whole numbers."""
+    """Integer products: in floating point while every sum is below 2^53, else with whole numbers of any size."""
     if len(q) and len(x) and np.abs(q).max() * np.abs(x).max() * q.shape[1] < 2.0**53:
         return pair_products(q, x, i, j).astype(np.int64)
-    return np.array([sum(int(a) * int(b) for a, b in zip(q[s], x[t], strict=True)) for s, t in zip(i, j, strict=True)], np.int64)
+    whole = np.frompyfunc(int, 1, 1)
+    sums = [(whole(q[i[s : s + 10_000]]) * whole(x[j[s : s + 10_000]])).sum(axis=1) for s in range(0, len(i), 10_000)]
+    return np.clip(np.concatenate(sums), -(2**63), 2**63 - 1).astype(np.int64) if sums else np.zeros(0, np.int64)
 
 
 class Best:
@@ -114,8 +121,7 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 5, scale: int = 256,
     queries = usable(vectors.filter(is_query), key, vector, scale).groupBy("k").agg(F.min("v").alias("v"))
     passes: list[DataFrame] = []
 
-    def search(block: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)  # at most block_rows vectors
+    def search(shared: Broadcast) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sides = {d: (ids, Segments(values), Best(first_floor(ids, values, k), k)) for d, (ids, values) in shared.value.items()}
@@ -149,12 +155,13 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 5, scale: int = 256,
 
     block: list = []
     for r in queries.toLocalIterator():
-        block.append(r)
         if len(block) == block_rows:
-            passes.append(search(pack(block)))
+            shared = spark.sparkContext.broadcast(pack(block))  # at most block_rows vectors
+            passes.append(written(search(shared), "best"))
+            shared.destroy()
             block = []
-    if block or not passes:
-        passes.append(search(pack(block)))
-    found = reduce(DataFrame.unionByName, passes)
+        block.append(r)
+    last = search(spark.sparkContext.broadcast(pack(block)))
+    found = reduce(DataFrame.unionByName, [*passes, written(last, "best") if passes else last])
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -108,6 +108,21 @@ def test_topk_search(spark):
     assert topk_search.top_k(t.filter("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_search_large_components(spark):
+    """Scores beyond exact floating point and beyond a long; blocks of queries one after the other."""
+    rows = [(0, [1e15, 3.0]), (1, [1e15, 5.0]), (2, [1e30, 1.0]), (3, [-1e30, 1.0]), (4, [2.0**40, 1.0]), (5, [1.0, 1.0]), (6, [1.0, 2.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    most = 2**63 - 1
+    scaled = {i: [max(-most - 1, min(most, math.floor(256 * x))) for x in v] for i, v in rows}
+    want = []
+    for q in scaled:
+        found = sorted((-max(-most - 1, min(most, sum(a * b for a, b in zip(scaled[q], scaled[c], strict=True)))), c) for c in scaled if c != q)
+        want += [(q, n, c, -s) for n, (s, c) in enumerate(found[:3], 1)]
+    for size in (2, 2048):
+        got = topk_search.top_k(vectors, F.lit(True), k=3, block_rows=size).collect()
+        assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
+
+
 def test_decontaminate(spark, odd, none):
     docs, bench = documents(spark), spark.read.parquet(f"{SF}/benchmark.parquet")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()}
