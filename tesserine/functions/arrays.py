@@ -54,6 +54,60 @@ def filter_reduce(a: Column, p: Fn, f: Fn, zero: Column, g: Fn2) -> Column:
     return F.aggregate(F.transform(F.filter(a, p), f), zero, g)
 
 
+def filter_reduce_fold(a: Column, p: Fn, zero: Column, step: Fn2, first: Fn) -> Column:
+    """What the first component of an accumulator is after a step for each element that satisfies p; zero is the
+    accumulator (a struct) before the first, first gives the result from it."""
+    return F.aggregate(F.filter(a, p), zero, step, first)
+
+
+def map_of(a: Column, key: Fn, value: Fn) -> Column:
+    """A map from each key to a value; of elements with equal keys the first one's value stays."""
+    keys = F.transform(a, key)
+    firsts = F.filter(F.transform(a, lambda x, i: F.struct(key(x).alias("key"), value(x).alias("value"), i.alias("i"))), lambda e: F.array_position(keys, e["key"]) == e["i"] + 1)
+    return F.map_from_entries(F.transform(firsts, lambda e: F.struct(e["key"], e["value"])))
+
+
+def map_entries(m: Column) -> Column:
+    """The entries of a map, by key."""
+    return F.array_sort(F.map_entries(m))
+
+
+def map_map(m: Column, f: Fn2) -> Column:
+    """A map with the same keys and f(key, value) as values."""
+    return F.transform_values(m, f)
+
+
+def map_filter(m: Column, p: Fn2) -> Column:
+    return F.map_filter(m, p)
+
+
+def map_reduce_values(m: Column, zero: Column, g: Fn2) -> Column:
+    return F.aggregate(F.map_values(m), zero, g)
+
+
+def head(a: Column) -> Column:
+    """The first element, null if there is none."""
+    return F.get(a, F.lit(0))
+
+
+def partition(a: Column, p: Fn) -> Column:
+    """Two arrays as a struct: the elements that satisfy p and the others (nulls of p included)."""
+    holds = lambda x: F.coalesce(p(x), F.lit(False))
+    return F.struct(F.filter(a, holds).alias("yes"), F.filter(a, lambda x: ~holds(x)).alias("no"))
+
+
+def histogram(a: Column, low: float, high: float, bins: int) -> Column:
+    """How many elements fall into each of equal bins from low up to high; elements outside count nowhere."""
+    width = (high - low) / bins
+    at = F.transform(F.filter(a, lambda x: (x >= low) & (x < high)), lambda x: F.least(F.floor((x - low) / width), F.lit(bins - 1)))
+    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(at, lambda x: x == b)))
+
+
+def arithmetic(a: Column, b: Column, fields: list[str], op: Fn2) -> Column:
+    """A record whose fields are op of both records' fields."""
+    return F.struct(*(op(a[f], b[f]).alias(f) for f in fields))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(zip_(a, b, lambda x, y: (x * y).cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -26,12 +26,13 @@ def char_at(s: Column, i: int = 0) -> Column:
 
 def int_divide(a: Column, b: Column) -> Column:
     """Whole division, toward zero."""
-    return ((a - a % b) / b).cast("long")
+    return F.call_function("div", a, b)
 
 
 def ip_to_int(ip: Column) -> Column:
     """A dotted address as a whole number: each part takes eight bits."""
-    return F.aggregate(F.split(ip, r"\."), F.lit(0).cast("long"), lambda n, part: F.shiftleft(n, 8) + part.cast("long"))
+    part = [F.split_part(ip, F.lit("."), F.lit(i)).cast("long") for i in range(1, 5)]
+    return F.shiftleft(part[0], 24) + F.shiftleft(part[1], 16) + F.shiftleft(part[2], 8) + part[3]
 
 
 def parse_boolean(s: Column) -> Column:

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of df, kept in the folder of spark.checkpoint.dir (a temporary one where that is unset)."""
+    """The rows of df, kept in the folder of spark.checkpoint.dir (where that is unset and Spark runs on this machine
+    alone, in a temporary one)."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tesserine-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("on a cluster, set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tesserine-"))
     return df.checkpoint()
 
 
@@ -22,43 +27,58 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both.groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
-def triangles(edges: DataFrame) -> DataFrame:
-    """n_triangles: edges are made undirected and unique, without loops, and directed from the node of lower degree, which
-    bounds the paths that a node of high degree opens."""
-    e = edges.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+def low_to_high(edges: DataFrame) -> DataFrame:
+    """u, v, forth, back: each pair of linked nodes once, without loops, from the node of lower degree (of equal ones, the
+    smaller), and whether there are edges u to v and v to u. No node has more than the root of twice the pairs as u."""
+    e = edges.filter("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.bool_or(F.col("src") < F.col("dst")).alias("up"), F.bool_or(F.col("src") > F.col("dst")).alias("down"))
     deg = e.select(F.explode(F.array("a", "b")).alias("n")).groupBy("n").count()
     d = e.join(deg.toDF("a", "da"), "a").join(deg.toDF("b", "db"), "b")
     low = F.struct("da", "a") < F.struct("db", "b")
-    o = d.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("v"))
-    paths = o.alias("x").join(o.alias("y"), F.col("x.v") == F.col("y.u")).select(F.col("x.u").alias("u"), F.col("y.v").alias("v"))
-    return paths.join(o, ["u", "v"]).agg(F.count(F.lit(1)).alias("n_triangles"))
+    pick = lambda x, y: F.when(low, F.col(x)).otherwise(F.col(y))
+    return d.select(pick("a", "b").alias("u"), pick("b", "a").alias("v"), pick("up", "down").alias("forth"), pick("down", "up").alias("back"))
+
 
+def triples(o: DataFrame) -> DataFrame:
+    """Every three nodes x, y, z that are linked with each other, once, with the pairs xy, yz and xz of low_to_high."""
+    link = lambda a, b: o.select(F.col("u").alias(a), F.col("v").alias(b), F.struct("forth", "back").alias(a + b))
+    return link("x", "y").join(link("y", "z"), "y").join(link("x", "z"), ["x", "z"])
 
-def pagerank(edges: DataFrame, iterations: int = 10, additive: float = 0.15) -> DataFrame:
+
+def triangles(edges: DataFrame) -> DataFrame:
+    """n_triangles: the triples of nodes that are linked with each other, directions and repeats aside."""
+    return triples(low_to_high(edges)).agg(F.count(F.lit(1)).alias("n_triangles"))
+
+
+def pagerank(edges: DataFrame, iterations: int = 100, additive: float = 0.15) -> DataFrame:
     """node, rank: rank' = additive + (1 - additive) * sum of rank / out_degree over incoming edges; ranks begin at 1 / nodes."""
     deg = checkpointed(degrees(edges))
     n = deg.count()
-    out = edges.join(deg.select(F.col("node").alias("src"), "out_degree"), "src")
+    out = edges.join(deg.select(F.col("node").alias("src"), "out_degree"), "src").persist(StorageLevel.MEMORY_AND_DISK)
     ranks = deg.select("node", F.lit(1.0 / max(1, n)).alias("rank"))
     for i in range(iterations):
         given = out.join(ranks.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("out_degree")).alias("got"))
         ranks = deg.select("node").join(given, "node", "left").select("node", (F.lit(additive) + F.lit(1 - additive) * F.coalesce("got", F.lit(0.0))).alias("rank"))
         if i % 5 == 4:
             ranks = checkpointed(ranks)
+    out.unpersist()
     return ranks
 
 
 def clustering(edges: DataFrame, threshold: int = 2) -> DataFrame:
     """node, coefficient: over ordered pairs t, u of a node's reciprocal neighbours, the edges among them divided by two for
-    each pair; 0 for fewer neighbours than the threshold."""
-    e = edges.filter("src <> dst").distinct()
-    back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = e.intersect(back)
-    count = mutual.groupBy("src").agg(F.count(F.lit(1)).alias("k"))
-    pairs = mutual.alias("a").join(mutual.alias("b"), F.col("a.src") == F.col("b.src")).filter("a.dst <> b.dst").select(F.col("a.src").alias("node"), F.col("a.dst").alias("src"), F.col("b.dst").alias("dst"))
+    each pair; 0 for fewer neighbours than the threshold.
+
+    Neighbours of neighbours are met by way of triples, so a node of high degree doesn't open all pairs around it."""
+    o = low_to_high(edges)
+    mutual = o.filter("forth AND back")
+    count = mutual.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("k"))
+    many = lambda link: link["forth"].cast("int") + link["back"].cast("int")
+    both = lambda link: link["forth"] & link["back"]
+    xy, yz, xz = F.col("xy"), F.col("yz"), F.col("xz")
     # each ordered pair (t, u) counts u->t and t->u, so every edge among neighbours counts twice
-    found = pairs.join(e, ["src", "dst"]).groupBy("node").agg((2 * F.count(F.lit(1))).alias("hits"))
-    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    seen = F.array(*(F.struct(node.alias("node"), F.when(both(p) & both(q), 2 * many(r)).otherwise(0).alias("hits")) for node, p, q, r in ((F.col("x"), xy, xz, yz), (F.col("y"), xy, yz, xz), (F.col("z"), xz, yz, xy))))
+    found = triples(o).select(F.inline(seen)).groupBy("node").agg(F.sum("hits").alias("hits"))
+    nodes = o.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     total = 2 * F.col("k") * (F.col("k") - 1)
-    joined = nodes.join(count.withColumnRenamed("src", "node"), "node", "left").join(found, "node", "left")
+    joined = nodes.join(count, "node", "left").join(found, "node", "left")
     return joined.select("node", F.when((F.col("k") >= threshold) & (total > 0), F.coalesce("hits", F.lit(0)) / total).otherwise(F.lit(0.0)).alias("coefficient"))

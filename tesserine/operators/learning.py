@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserine.operators.graph import checkpointed
+
 
 def squared_distance(point: Column, centre: Sequence[float]) -> Column:
     c = F.array(*map(F.lit, map(float, centre)))
@@ -20,19 +23,38 @@ def nearest(point: Column, centres: Sequence[Sequence[float]]) -> Column:
 
 
 def kmeans(points: DataFrame, column: str, centres: list[list[float]], tolerance: float = 1e-3, most: int = 20) -> list[list[float]]:
-    """Centres after at most that many rounds from the given ones; a centre without points stays."""
-    dim = len(centres[0])
+    """Centres after at most that many rounds from the given ones; a centre without points stays. Points that are null or
+    of another length take no part. Each round's plan is the same, and a task sends one row for each centre."""
+    import numpy as np
+    import pyarrow as pa
+
+    now = np.array(centres, float)
+    k, dim = now.shape
+    p = F.col(column).cast("array<double>")
+    rows = points.select(p.alias("p")).filter((F.size("p") == dim) & ~F.exists("p", lambda x: x.isNull())).persist(StorageLevel.MEMORY_AND_DISK)
     for _ in range(most):
-        sums = [F.sum(F.get(column, F.lit(i)).cast("double")).alias(f"s{i}") for i in range(dim)]
-        found = points.groupBy(nearest(F.col(column), centres).alias("c")).agg(F.count(F.lit(1)).alias("n"), *sums).collect()  # a row for each centre
-        new = [list(c) for c in centres]
-        for r in found:
-            new[r["c"]] = [r[f"s{i}"] / r["n"] for i in range(dim)]
-        moved = max(sum((a - b) ** 2 for a, b in zip(x, y, strict=True)) for x, y in zip(new, centres, strict=True))
-        centres = new
+
+        def add_up(batches: Iterator[pa.RecordBatch], now: np.ndarray = now) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((k, dim + 1))
+            for batch in batches:
+                x = np.asarray(batch["p"].flatten()).reshape(-1, dim)
+                own = np.stack([((x - c) ** 2).sum(axis=1) for c in now]).argmin(axis=0)
+                for c in np.unique(own):
+                    sums[c, :dim] += x[own == c].sum(axis=0)
+                    sums[c, dim] += (own == c).sum()
+            yield pa.RecordBatch.from_pydict({"c": pa.array(range(k), pa.int32()), "s": pa.array(sums.tolist(), pa.list_(pa.float64()))})
+
+        parts = rows.mapInArrow(add_up, "c int, s array<double>").select("c", F.posexplode("s").alias("i", "v"))
+        found = np.zeros((k, dim + 1))
+        for r in parts.groupBy("c", "i").agg(F.sum("v").alias("v")).collect():  # k rows of dim + 1 numbers
+            found[r["c"], r["i"]] = r["v"]
+        n = found[:, dim:]
+        new = np.where(n > 0, found[:, :dim] / np.maximum(n, 1), now)
+        moved, now = ((new - now) ** 2).sum(axis=1).max(), new
         if moved < tolerance**2:
             break
-    return centres
+    rows.unpersist()
+    return now.tolist()
 
 
 def _moments(df: DataFrame, xs: Sequence[Column], y: Column, weight: Column | None = None) -> tuple[list[list[float]], list[float]]:
@@ -58,18 +80,33 @@ def unnormalised_step(df: DataFrame, xs: Sequence[Column], y: Column) -> list[fl
 
 
 def logistic_regression(df: DataFrame, xs: Sequence[Column], y: Column, rate: float = 1.0, tolerance: float = 1e-3, most: int = 30) -> list[float]:
-    """Batch gradient steps, each one aggregation; the step is the mean gradient times the rate."""
-    theta = [0.0] * len(xs)
-    n = df.count()
-    for _ in range(most if n else 0):
-        z = reduce(lambda a, b: a + b, [F.lit(t) * x for t, x in zip(theta, xs, strict=True)])
-        wrong = y - 1 / (1 + F.exp(-z))
-        r = df.agg(*(F.sum(wrong * x).alias(f"g{i}") for i, x in enumerate(xs))).first()
-        step = [rate * g / n for g in r]
-        theta = [t + s for t, s in zip(theta, step, strict=True)]
-        if sum(map(abs, step)) < tolerance:
+    """Batch gradient steps, each one pass with the same plan; the step is the mean gradient times the rate. Rows with a
+    null take no part."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows = df.select(F.array(*(x.cast("double") for x in [*xs, y])).alias("p")).filter(~F.exists("p", lambda x: x.isNull())).persist(StorageLevel.MEMORY_AND_DISK)
+    theta = np.zeros(len(xs))
+    for _ in range(most):
+
+        def gradient(batches: Iterator[pa.RecordBatch], theta: np.ndarray = theta) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(theta) + 1)
+            for batch in batches:
+                p = np.asarray(batch["p"].flatten()).reshape(-1, len(theta) + 1)
+                wrong = p[:, -1] - 1 / (1 + np.exp(-(p[:, :-1] @ theta)))
+                total += [*(wrong @ p[:, :-1]), len(p)]
+            yield pa.RecordBatch.from_pydict({"g": pa.array([total.tolist()], pa.list_(pa.float64()))})
+
+        parts = rows.mapInArrow(gradient, "g array<double>").select(F.posexplode("g").alias("i", "v"))
+        got = dict(parts.groupBy("i").agg(F.sum("v").alias("v")).collect())  # a row for each parameter
+        if not got.get(len(xs)):
+            break
+        step = rate * np.array([got[i] for i in range(len(xs))]) / got[len(xs)]
+        theta = theta + step
+        if np.abs(step).sum() < tolerance:
             break
-    return theta
+    rows.unpersist()
+    return theta.tolist()
 
 
 def support_vector_machine(df: DataFrame, xs: Sequence[Column], y: Column, cost: float = 1.0, tolerance: float = 1e-3, most: int = 100) -> list[float]:
@@ -89,50 +126,122 @@ def support_vector_machine(df: DataFrame, xs: Sequence[Column], y: Column, cost:
     return [found.intercept, *found.coefficients.toArray().tolist()]
 
 
+def svm_classify(weights: Sequence[float], xs: Sequence[Column]) -> Column:
+    """1 or -1: the side of a point, by the bias and weights of a linear machine; 0 counts to the side of 1."""
+    z = reduce(lambda a, b: a + b, [F.lit(w) * x for w, x in zip(weights[1:], xs, strict=True)], F.lit(weights[0]))
+    return F.when(z < 0, -1).otherwise(1)
+
+
 def gaussian_discriminant(df: DataFrame, xs: Sequence[Column], y: Column) -> DataFrame:
     """One row: phi, the class means m0_i and m1_i, and the unnormalised scatter s_i_j around the own class's mean."""
     one = y == 1
-    means = [F.avg(F.when(one == F.lit(bool(c)), x)).alias(f"m{c}_{i}") for c in (0, 1) for i, x in enumerate(xs)]
-    model = df.agg(F.avg(F.when(one, 1.0).otherwise(0.0)).alias("phi"), *means)
-    centred = df.crossJoin(F.broadcast(model))  # one row
-    d = [x - F.when(one, F.col(f"m1_{i}")).otherwise(F.col(f"m0_{i}")) for i, x in enumerate(xs)]
-    scatter = [F.sum(d[i] * d[j]).alias(f"s_{i}_{j}") for i in range(len(xs)) for j in range(i, len(xs))]
-    return centred.agg(F.first("phi").alias("phi"), *(F.first(f"m{c}_{i}").alias(f"m{c}_{i}") for c in (0, 1) for i in range(len(xs))), *scatter)
+    of = lambda c, x: F.when(one == F.lit(bool(c)), x)
+    means = [F.avg(of(c, x)).alias(f"m{c}_{i}") for c in (0, 1) for i, x in enumerate(xs)]
+    part = lambda c, i, j: F.coalesce(F.covar_pop(of(c, xs[i]), of(c, xs[j])) * F.count_if(one == F.lit(bool(c))), F.lit(0.0))
+    scatter = [(part(0, i, j) + part(1, i, j)).alias(f"s_{i}_{j}") for i in range(len(xs)) for j in range(i, len(xs))]
+    return df.agg(F.avg(F.when(one, 1.0).otherwise(0.0)).alias("phi"), *means, *scatter)
 
 
-def naive_bayes(tokens: DataFrame, token: str = "token", label: str = "label") -> DataFrame:
-    """token, label, n, log_p with Laplace smoothing over all pairs of a known token and a label, from token rows."""
-    counts = tokens.groupBy(token, label).agg(F.count(F.lit(1)).alias("n"))
-    wide = counts.groupBy(token).agg(F.map_from_entries(F.collect_list(F.struct(label, "n"))).alias("by"))
-    totals = counts.groupBy(label).agg(F.sum("n").alias("total"))
-    sizes = totals.crossJoin(F.broadcast(counts.select(token).distinct().agg(F.count(F.lit(1)).alias("v"))))  # labels are few
-    each = wide.crossJoin(F.broadcast(sizes)).withColumn("n", F.coalesce(F.try_element_at("by", label), F.lit(0)))
-    return each.select(token, label, "n", F.log((F.col("n") + 1) / (F.col("total") + F.col("v"))).alias("log_p"))
-
+def naive_bayes(tokens: DataFrame, token: str = "token", label: str = "label", most_labels: int = 10_000) -> DataFrame:
+    """token, label, n, log_p with Laplace smoothing over all pairs of a known token and a label, from token rows.
 
-def item_similarity(ratings: DataFrame, user: str = "user", item: str = "item", rating: str = "rating", most_items: int = 500) -> DataFrame:
-    """item_a < item_b with their similarity over common users: centred products / (root of centred squares + 1).
-
-    Items of one user are paired; users with more items than most_items would square and raise."""
-    r = ratings.select(F.col(user).alias("u"), F.col(item).alias("i"), F.col(rating).cast("double").alias("x")).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("u")))
-    r = r.withColumn("k", F.when(F.col("k") > most_items, F.raise_error(F.lit("a user has too many items"))).otherwise(F.col("k")))
-    means = r.groupBy("i").agg(F.avg("x").alias("m"))
-    c = r.join(means, "i").select("u", "i", (F.col("x") - F.col("m")).alias("d"), "k")
-    pairs = c.alias("a").join(c.alias("b"), (F.col("a.u") == F.col("b.u")) & (F.col("a.i") < F.col("b.i")))
-    sums = pairs.groupBy(F.col("a.i").alias("item_a"), F.col("b.i").alias("item_b")).agg(F.sum(F.col("a.d") * F.col("b.d")).alias("num"), F.sum(F.col("a.d") * F.col("a.d")).alias("aa"), F.sum(F.col("b.d") * F.col("b.d")).alias("bb"), F.count(F.lit(1)).alias("common"))
-    return sums.select("item_a", "item_b", "common", (F.col("num") / (F.sqrt(F.col("aa") * F.col("bb")) + 1)).alias("similarity"))
+    Labels are few: more than most_labels raise. Their totals are part of the plan."""
+    counts = tokens.groupBy(token, label).agg(F.count(F.lit(1)).alias("n"))
+    wide = checkpointed(counts.groupBy(token).agg(F.map_from_entries(F.collect_list(F.struct(label, "n"))).alias("by")))
+    totals = wide.select(F.explode("by").alias("label", "n")).groupBy("label").agg(F.sum("n").alias("n")).limit(most_labels + 1).collect()
+    if len(totals) > most_labels:
+        raise ValueError("too many labels")
+    v = wide.count()
+    each = F.array(*(F.struct(F.lit(r["label"]).alias(label), F.lit(r["n"]).alias("total")) for r in totals))
+    rows = wide.select(token, "by", F.inline(each)) if totals else wide.select(token, "by", F.lit(None).cast(tokens.schema[label].dataType).alias(label), F.lit(0).alias("total")).limit(0)
+    rows = rows.withColumn("n", F.coalesce(F.try_element_at("by", F.col(label)), F.lit(0)))
+    return rows.select(token, label, "n", F.log((F.col("n") + 1) / (F.col("total") + F.lit(v))).alias("log_p"))
+
+
+def naive_bayes_classify(tokens: DataFrame, model: DataFrame, priors: DataFrame, key: str = "key", token: str = "token", label: str = "label") -> DataFrame:
+    """key, predicted: of each key's tokens the label with the highest sum of log_p and log_prior over all of them (each
+    token brings the prior again, as the reference's sums do); ties go to the smaller label. Unknown tokens don't count."""
+    known = tokens.groupBy(key, token).agg(F.count(F.lit(1)).alias("times")).join(model, token)
+    scores = known.join(F.broadcast(priors), label).groupBy(key, label).agg(F.sum(F.col("times") * (F.col("log_p") + F.col("log_prior"))).alias("score"))  # a row for each label
+    best = F.min_by(label, F.struct(-F.round("score", 9), F.col(label)))
+    return scores.groupBy(key).agg(best.alias("predicted"))
+
+
+def item_similarity(ratings: DataFrame, user: str = "user", item: str = "item", rating: str = "rating", block: int = 500) -> DataFrame:
+    """item_a < item_b, common, similarity: the products of deviations from the pair's means over its common users, by the
+    roots of the squares' sums + 1.
+
+    A user's items are paired in pairs of blocks of about that size, so that no task has all pairs of a user of many."""
+    r = ratings.groupBy(F.col(user).alias("u"), F.col(item).alias("i")).agg(F.max(F.col(rating).cast("double")).alias("x")).filter("x IS NOT NULL")
+    sizes = r.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    dealt = r.join(sizes, "u").withColumn("own", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int")).withColumn("all", F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = dealt.select("u", F.col("own").alias("p"), F.explode("all").alias("q"), F.col("i").alias("item_a"), F.col("x").alias("a"))
+    b = dealt.select("u", F.explode("all").alias("p"), F.col("own").alias("q"), F.col("i").alias("item_b"), F.col("x").alias("b"))
+    pairs = a.join(b, ["u", "p", "q"]).filter("item_a < item_b")
+    n, sa, sb = F.count(F.lit(1)), F.sum("a"), F.sum("b")
+    num = F.sum(F.col("a") * F.col("b")) - sa * sb / n
+    den = F.sqrt(F.greatest(F.sum(F.col("a") * F.col("a")) - sa * sa / n, F.lit(0.0))) * F.sqrt(F.greatest(F.sum(F.col("b") * F.col("b")) - sb * sb / n, F.lit(0.0)))
+    return pairs.groupBy("item_a", "item_b").agg(n.alias("common"), (num / (den + 1)).alias("similarity"))
+
+
+def recommend(ratings: DataFrame, similarities: DataFrame, n: int, user: str = "user", item: str = "item", rating: str = "rating") -> DataFrame:
+    """user, rank, item, preference: each user's n items of the highest preference, the ratings of similar items by
+    similarity, over the similarities' absolute sum + 1. Items of no preference (0) are left out; ties go to the smaller item."""
+    s = similarities.filter("similarity <> 0")
+    both = s.select("item_a", "item_b", "similarity").union(s.select("item_b", "item_a", "similarity")).toDF("rated", "item", "s")
+    own = ratings.select(F.col(user).alias("user"), F.col(item).alias("rated"), F.col(rating).cast("double").alias("x"))
+    found = own.join(both, "rated").groupBy("user", "item").agg((F.sum(F.col("s") * F.col("x")) / (F.sum(F.abs("s")) + 1)).alias("preference")).filter("preference <> 0")
+    best = Window.partitionBy("user").orderBy(F.desc("preference"), "item")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n).select("user", "rank", "item", "preference")
 
 
 def k_centers(points: DataFrame, key: str, column: str, k: int) -> list[list[float]]:
-    """Farthest-first centres: the point with the smallest key, then each time the point farthest from its nearest centre."""
+    """Farthest-first centres: the point with the smallest key, then each time the point farthest from its nearest centre
+    (of equals, the one with the smallest key). The squared distance to the nearest centre so far is kept with each point."""
     first = points.orderBy(key).select(column).first()
     centres = [list(map(float, first[0]))] if first else []
+    near = points.select(F.col(key).alias("k"), F.col(column).alias("p"), F.lit(float("inf")).alias("d"))
     while first and len(centres) < k:
-        d = F.array_min(F.array(*(squared_distance(F.col(column), c) for c in centres)))
-        centres.append(list(map(float, points.agg(F.max_by(column, F.struct(d, -F.col(key)))).first()[0])))
+        near = checkpointed(near.select("k", "p", F.least("d", squared_distance(F.col("p"), centres[-1])).alias("d")))
+        centres.append(list(map(float, near.agg(F.max_by("p", F.struct("d", -F.col("k")))).first()[0])))
     return centres
 
 
+def k_medoids(points: DataFrame, key: str, column: str, k: int, most: int = 20) -> list[int]:
+    """Keys of medoids: from farthest-first centres, points go to the nearest medoid and each cluster takes, of the points
+    next to its mean, the one with the least sum of distances to the cluster's points, as long as that lowers the sum.
+
+    Candidates are the 16 points nearest to the mean of each cluster, so a round is linear in the points; sums of
+    distances are over all points of the cluster. Ties go to the smaller key."""
+    rows = points.select(F.col(key).cast("long").alias("k"), F.col(column).cast("array<double>").alias("p")).filter("k IS NOT NULL AND p IS NOT NULL").persist(StorageLevel.MEMORY_AND_DISK)
+    start = k_centers(rows, "k", "p", k)
+    if not start:
+        return []
+    chosen = [(r["k"], list(r["p"])) for r in rows.filter(F.exists(F.array(*(F.array(*map(F.lit, c)) for c in start)), lambda c: c == F.col("p"))).groupBy("p").agg(F.min("k").alias("k")).orderBy("k").collect()]  # k rows
+    for _ in range(most):
+        medoids = [p for _, p in chosen]
+        own = rows.withColumn("c", nearest(F.col("p"), medoids))
+        dim = len(medoids[0])
+        means = {r["c"]: [r[f"m{i}"] for i in range(dim)] for r in own.groupBy("c").agg(*(F.avg(F.get("p", F.lit(i))).alias(f"m{i}") for i in range(dim))).collect()}
+        picks: dict[int, list] = {}
+        for c, mean in means.items():
+            near = own.filter(F.col("c") == c).orderBy(squared_distance(F.col("p"), mean), "k").limit(16).collect()
+            picks[c] = [chosen[c], *((r["k"], list(r["p"])) for r in near if r["k"] != chosen[c][0])]
+        sums = [F.sum(F.when(F.col("c") == c, F.sqrt(squared_distance(F.col("p"), p)))).alias(f"{c}_{i}") for c, some in picks.items() for i, (_, p) in enumerate(some)]
+        total = own.agg(*sums).first()
+        new = list(chosen)
+        for c, some in picks.items():
+            costs = [(total[f"{c}_{i}"], i > 0, some[i][0], i) for i in range(len(some))]
+            least = min(costs)
+            if least[0] < costs[0][0]:
+                new[c] = some[least[3]]
+        if new == chosen:
+            break
+        chosen = new
+    rows.unpersist()
+    return [x for x, _ in chosen]
+
+
 def value_iteration(transition: list[list[list[float]]], cost: list[list[float]], discount: float, tolerance: float = 1e-9, most: int = 10_000) -> list[float]:
     """Least expected discounted costs of a small decision process: actions x states x states, costs actions x states."""
     import numpy as np
@@ -145,3 +254,30 @@ def value_iteration(transition: list[list[list[float]]], cost: list[list[float]]
             return new.tolist()
         v = new
     return v.tolist()
+
+
+def normal_density(x: Column, mean: float, deviation: float) -> Column:
+    return F.exp(-(x - mean) * (x - mean) / (2 * deviation * deviation)) / F.sqrt(F.lit(2 * 3.141592653589793 * deviation * deviation))
+
+
+def transposed(cells: DataFrame) -> DataFrame:
+    """A matrix as cells (i, j, v), turned over."""
+    return cells.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
+
+
+def product(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The product of two matrices as cells (i, j, v); missing cells are 0. A vector is a matrix of one column."""
+    met = a.toDF("i", "k", "a").join(b.toDF("k", "j", "b"), "k")
+    return met.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v"))
+
+
+def with_column_at(cells: DataFrame, position: int, column: DataFrame) -> DataFrame:
+    """A matrix with a further column (i, v) before that of the given number."""
+    moved = cells.select("i", (F.col("j") + F.when(F.col("j") >= position, 1).otherwise(0)).alias("j"), "v")
+    return moved.unionByName(column.select("i", F.lit(position).cast(cells.schema["j"].dataType).alias("j"), "v"))
+
+
+def row_sums(cells: DataFrame, keep: Column | None = None) -> DataFrame:
+    """i, v: the sum of each row's cells, or of those that keep holds for; rows without any have 0."""
+    v = F.col("v") if keep is None else F.when(keep, F.col("v")).otherwise(F.lit(0))
+    return cells.groupBy("i").agg(F.sum(v).alias("v"))

@@ -6,12 +6,15 @@ column (named ``value``), a dict of named columns, or for keys a tuple of column
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 class Row:
@@ -51,8 +54,21 @@ def parts(result: Result) -> list[Column]:
 
 
 def int_average(x: Column) -> Column:
-    """The average of whole numbers in their own type: the sum divided without remainder, rounded toward zero."""
-    return F.try_divide(F.sum(x) - F.sum(x) % F.count(x), F.count(x)).cast("long")
+    """The average of whole numbers in their own type: the sum divided without remainder, toward zero; null without rows."""
+    return F.call_function("div", F.sum(x), F.nullif(F.count(x), F.lit(0)))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like the given one that no column of df has, in any spelling."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name
+
+
+def key_names(result: Result) -> list[str]:
+    """The names of a key's columns, as named() gives them."""
+    return list(result) if isinstance(result, dict) else [f"_{i}" for i, _ in enumerate(result, 1)] if isinstance(result, tuple) else ["key"]
 
 
 #: What the extremes of an empty table are where the caller asks for the type's own bounds.
@@ -124,6 +140,15 @@ class Table:
     def max(self, f: Callable[[Row], Column], empty: str = "null") -> Table:
         return self._extreme(f, F.max, EMPTY_MAX, empty)
 
+    def reduce(self, f: Callable[[Row], Column], zero: Any, merge: Callable[[Any, Any], Any]) -> Table:
+        """The values of f merged by a function of two Python values, which must be associative with zero as its neutral
+        element: each partition's first, then theirs. Null values take no part. Prefer an aggregate where one fits."""
+        return Table(_merged(self.df.select(f(Row()).alias("value")), zero, merge))
+
+    def for_each(self, f: Callable[[Any], None]) -> None:
+        """Runs f on every row, for its effects, where the rows are; a task that is run again repeats them."""
+        self.to_df().foreach(f)
+
     def count(self, p: Callable[[Row], Column] | None = None) -> Table:
         return Table(self.df.agg((F.count(F.lit(1)) if p is None else F.count_if(p(Row()))).alias("value")))
 
@@ -139,7 +164,8 @@ class Table:
     # grouping ----------------------------------------------------------------------------------------------
 
     def group_by(self, f: RowFn) -> Grouped:
-        return Grouped(self, named(f(Row()), "key"))
+        key = f(Row())
+        return Grouped(self, named(key, "key"), key_names(key))
 
     def distinct(self, key: RowFn | None = None, order: RowFn | None = None) -> Table:
         """Distinct rows; with a key, the first row of each key in the given order."""
@@ -147,8 +173,8 @@ class Table:
             return Table(self.df.distinct())
         if order is None:
             raise ValueError("the first row of a key needs an order")
-        best = Window.partitionBy(*parts(key(Row()))).orderBy(*parts(order(Row())))
-        return Table(self.df.withColumn("__rank", F.row_number().over(best)).filter("__rank = 1").drop("__rank"))
+        best, rank = Window.partitionBy(*parts(key(Row()))).orderBy(*parts(order(Row()))), unused(self.df, "rank")
+        return Table(self.df.withColumn(rank, F.row_number().over(best)).filter(F.col(rank) == 1).drop(rank))
 
     # order and limit ---------------------------------------------------------------------------------------
 
@@ -186,9 +212,7 @@ class Table:
 
     def at(self, i: int, order: RowFn) -> Table:
         """The row at position i, from 0, in the given order."""
-        rank = F.row_number().over(Window.orderBy(*parts(order(Row()))))
-        near = self.df.orderBy(*parts(order(Row()))).limit(i + 1)
-        return Table(near.select("*", rank.alias("__rank")).filter(F.col("__rank") == i + 1).drop("__rank"))
+        return Table(self.df.orderBy(*parts(order(Row()))).offset(i).limit(1))
 
     # set operations ----------------------------------------------------------------------------------------
 
@@ -218,11 +242,11 @@ class Table:
         return Table(self.df.alias("x").join(other.df.alias("y"), _equal(mine, theirs), "left_anti"))
 
     def where_least(self, key: RowFn, value: Callable[[Row], Column]) -> Table:
-        """The rows that have their key's least value: a correlated minimum, as an aggregate and a join."""
-        names = [f"__k{i}" for i, _ in enumerate(parts(key(Row())))]
-        keyed = self.df.select("*", *(c.alias(n) for c, n in zip(parts(key(Row())), names, strict=True)), value(Row()).alias("__v"))
-        least = keyed.groupBy(*names).agg(F.min("__v").alias("__least"))
-        return Table(keyed.join(least, names).filter("__v = __least").select(*self.df.columns))
+        """The rows that have their key's least value: a correlated minimum, as a minimum over the key's rows. Rows with a
+        null in the key or value equal none, as in SQL."""
+        least, v = unused(self.df, "least"), value(Row())
+        known = [k.isNotNull() for k in parts(key(Row()))]
+        return Table(self.df.filter(reduce(Column.__and__, known)).withColumn(least, F.min(v).over(Window.partitionBy(*parts(key(Row()))))).filter(v == F.col(least)).drop(least))
 
     # actions -----------------------------------------------------------------------------------------------
 
@@ -279,15 +303,14 @@ class Joinable:
 class Group:
     """One group inside ``select``: its methods are aggregate columns, so that groups are never built."""
 
-    def __init__(self, key: list[Column], condition: Column | None = None):
+    def __init__(self, key: dict[str, Column], condition: Column | None = None):
         self._key, self._condition = key, condition
 
     @property
     def key(self) -> Any:
-        names = [F.col(f"`__{n}`") for n in _names(self._key)]
-        if len(names) == 1:
-            return names[0]
-        return type("Key", (), {n: c for n, c in zip(_names(self._key), names, strict=True)} | {f"_{i}": c for i, c in enumerate(names, 1)})
+        if len(self._key) == 1:
+            return next(iter(self._key.values()))
+        return type("Key", (), self._key | {f"_{i}": c for i, c in enumerate(self._key.values(), 1)})
 
     def where(self, p: Callable[[Row], Column]) -> Group:
         """The rows of the group that satisfy p; what follows is over them alone."""
@@ -297,7 +320,9 @@ class Group:
         return f(Row()) if self._condition is None else F.when(self._condition, f(Row()))
 
     def sum(self, f: Callable[[Row], Column]) -> Column:
-        return F.sum(self._of(f))
+        """The sum; 0 where where() leaves the group no rows."""
+        total = F.sum(self._of(f))
+        return total if self._condition is None else F.when(F.count_if(self._condition) > 0, total).otherwise(F.lit(0))
 
     def average(self, f: Callable[[Row], Column]) -> Column:
         return F.avg(self._of(f))
@@ -323,32 +348,84 @@ class Group:
     def last(self, f: Callable[[Row], Column], order: Callable[[Row], Column]) -> Column:
         return F.max_by(self._of(f), self._of(order))
 
+    def count_distinct(self, f: Callable[[Row], Column]) -> Column:
+        return F.count_distinct(self._of(f))
+
     def values(self, f: Callable[[Row], Column]) -> Column:
-        """The group's values as an array, in no particular order."""
+        """The group's values as an array, in no particular order; the group's must fit in memory, as in what follows."""
         return F.collect_list(self._of(f))
 
+    def distinct(self, f: Callable[[Row], Column]) -> Column:
+        """The group's distinct values, in ascending order."""
+        return F.sort_array(F.collect_set(self._of(f)))
 
-def _names(key: list[Column]) -> list[str]:
-    return [c._jc.toString().rsplit(" AS ", 1)[1].strip("`") for c in key]
+    def order_by(self, f: Callable[[Row], Column], order: Callable[[Row], Column]) -> Column:
+        """The group's values in the order of another (ties by value)."""
+        pairs = F.collect_list(self._of(lambda r: F.struct(order(r).alias("o"), f(r).alias("v"))))
+        return F.transform(F.array_sort(pairs), lambda p: p["v"])
+
+    def select_many(self, f: Callable[[Row], Column]) -> Column:
+        """The elements of the arrays of all the group's rows, in no particular order."""
+        return F.flatten(F.collect_list(self._of(f)))
+
+
+def _merged(values: DataFrame, zero: Any, merge: Callable[[Any, Any], Any]) -> DataFrame:
+    """One row: the values merged, in partitions first. Each partition gives one row, and one task merges these."""
+    schema = to_arrow_schema(values.schema)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = zero
+        for batch in batches:
+            for x in batch["value"].to_pylist():
+                if x is not None:
+                    total = merge(total, x)
+        yield pa.RecordBatch.from_pylist([{"value": total}], schema)
+
+    return values.mapInArrow(fold, values.schema).repartition(1).mapInArrow(fold, values.schema)
 
 
 class Grouped:
-    def __init__(self, table: Table, key: list[Column]):
-        self.table, self._key = table, key
+    def __init__(self, table: Table, key: list[Column], names: list[str]):
+        self.table, self._key, self._names = table, key, names
+
+    def _own(self) -> list[str]:
+        """Names of the keys that no column of the table has, so that they hide none from the aggregates."""
+        return [unused(self.table.df, f"{n}_{i}_of_key") for i, n in enumerate(self._names)]
 
     def select(self, f: Callable[[Group], Result]) -> Table:
         """One row for each group: partial and final aggregation of everything in one pass."""
-        names = [f"__{n}" for n in _names(self._key)]
-        result = f(Group(self._key))
-        values = named(result)
-        outputs = list(result) if isinstance(result, dict) else [f"_{i}" for i, _ in enumerate(result, 1)] if isinstance(result, tuple) else ["value"]
-        # keys get names of their own, so that they hide no column from the aggregates
-        return Table(self.table.df.groupBy(*(c.alias(n) for c, n in zip(self._key, names, strict=True))).agg(*values).select(*outputs))
+        own = self._own()
+        result = f(Group({n: F.col(f"`{o}`") for n, o in zip(self._names, own, strict=True)}))
+        outputs = key_names(result) if isinstance(result, (dict, tuple)) else ["value"]
+        return Table(self.table.df.groupBy(*(c.alias(o) for c, o in zip(self._key, own, strict=True))).agg(*named(result)).select(*(F.col(f"`{o}`") for o in outputs)))
 
     def select_many(self, f: Callable[[Row], Column]) -> Table:
         """The values of all groups, flattened: grouping moves rows but drops none."""
         return self.table.select(f)
 
+    def reduce(self, f: Callable[[Row], Column], zero: Any, merge: Callable[[Any, Any], Any], salts: int = 32) -> Table:
+        """key and value: each group's values merged by an associative function of two Python values with zero as its
+        neutral element. A group's rows are dealt over salts first, whose results are merged then; nulls take no part."""
+        rows = self.table.df.select(*(c.alias(n) for c, n in zip(self._key, self._names, strict=True)), f(Row()).alias("value"))
+        kind = rows.schema
+        if "value" in self._names:
+            raise ValueError("a key must not be named value")
+
+        def merged(df: DataFrame, extra: list[str]) -> DataFrame:
+            def fold(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                total = zero
+                for batch in batches:
+                    for x in batch["value"].to_pylist():
+                        if x is not None:
+                            total = merge(total, x)
+                yield pa.RecordBatch.from_pylist([dict(zip(kind.names, [*(k.as_py() for k in key[: len(kind) - 1]), total], strict=True))], to_arrow_schema(kind))
+
+            return df.groupBy(*(F.col(f"`{n}`") for n in self._names), *extra).applyInArrow(fold, kind)
+
+        salt = unused(rows, "salt")
+        dealt = rows.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+        return Table(merged(merged(dealt, [salt]), []))
+
     def groups(self) -> Table:
         """key and values (an array of the group's rows). Groups must fit in memory; prefer select."""
         key = self._key[0] if len(self._key) == 1 else F.struct(*self._key).alias("key")

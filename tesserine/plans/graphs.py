@@ -11,28 +11,29 @@ from tesserine.operators import graph
 from tesserine.operators.table import Table
 from tesserine.plans.registry import Tables, query
 
-EDGES = "SELECT DISTINCT l_suppkey % 60 AS src, l_partkey % 60 AS dst FROM lineitem WHERE l_partkey % 7 = 0"
+#: Suppliers and parts share their numbers, so low numbers have edges to and from them.
+EDGES = "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem"
 
 
 def edges(t: Tables) -> DataFrame:
-    return t.lineitem.where(lambda l: l.l_partkey % 7 == 0).select(lambda l: {"src": l.l_suppkey % 60, "dst": l.l_partkey % 60}).distinct().df
+    return t.lineitem.select(lambda l: {"src": l.l_suppkey, "dst": l.l_partkey}).distinct().df
 
 
 @query("""
-WITH hops AS (
-  SELECT l_orderkey, [l_partkey % 50, l_suppkey % 50, CAST(l_linenumber AS BIGINT)] AS h FROM lineitem),
-links AS (SELECT unnest([struct_pack(src := h[1] * 256 + 1, dst := h[2] * 256 + 1), struct_pack(src := h[2] * 256 + 1, dst := h[3] * 256 + 1)]) AS e FROM hops)
-SELECT e.src AS src, e.dst AS dst, count(*) AS n FROM links GROUP BY 1, 2 HAVING count(*) > 20
+WITH links AS (SELECT l_partkey AS src, l_suppkey AS dst FROM lineitem UNION ALL SELECT l_suppkey, l_linenumber FROM lineitem)
+SELECT src, dst, count(*) AS n FROM links GROUP BY 1, 2 HAVING count(*) > 20
 """)
 def traceroute(t: Tables) -> Table:
     """Traces ``id:ip:latency|id:ip:latency|...`` to links between consecutive addresses that occur more than 20 times."""
-    hop = lambda i, x: F.concat(F.lit(f"{i}:0.0."), x.cast("string"), F.lit(".1:0.5"))
-    traces = t.lineitem.select(lambda l: {"trace": F.concat_ws("|", hop(0, l.l_partkey % 50), hop(1, l.l_suppkey % 50), hop(2, l.l_linenumber))})
-    # neighbours first, then the addresses: each hop is parsed once for each link
+    octet = lambda x, shift: F.shiftright(x.cast("long"), shift).bitwiseAND(F.lit(255)).cast("string")
+    hop = lambda i, x: F.concat_ws(":", F.lit(i).cast("string"), F.concat_ws(".", *(octet(x, s) for s in (24, 16, 8, 0))), F.lit("0.5"))
+    traces = t.lineitem.select(lambda l: {"trace": F.concat_ws("|", hop(0, l.l_partkey), hop(1, l.l_suppkey), hop(2, l.l_linenumber))})
     hops = traces.select_many(lambda r: A.pairs(F.split(r.trace, r"\|")))
-    address = lambda hop: S.ip_to_int(F.get(F.split(hop, ":"), F.lit(1)))
-    links = hops.select(lambda e: {"src": address(e.src), "dst": address(e.dst)})
-    return links.group_by(lambda e: (e.src, e.dst)).select(lambda g: {"src": g.key._1, "dst": g.key._2, "n": g.count()}).where(lambda r: r.n > 20)
+    # links are counted by the addresses' texts first, and only the distinct ones are parsed
+    address = lambda hop: F.split_part(hop, F.lit(":"), F.lit(2))
+    texts = hops.group_by(lambda e: {"a": address(e.src), "b": address(e.dst)}).select(lambda g: {"a": g.key.a, "b": g.key.b, "n": g.count()})
+    links = texts.select(lambda e: {"src": S.ip_to_int(e.a), "dst": S.ip_to_int(e.b), "n": e.n})
+    return links.group_by(lambda e: (e.src, e.dst)).select(lambda g: {"src": g.key._1, "dst": g.key._2, "n": g.sum(lambda e: e.n)}).where(lambda r: r.n > 20)
 
 
 @query("SELECT user_id, count(*) AS hits, round(sum(value), 4) AS total, CAST(sum(event_id % 100) AS BIGINT) AS bytes FROM events WHERE event_type = (SELECT min(event_type) FROM events) GROUP BY 1")
@@ -53,13 +54,20 @@ def graph_triangles(t: Tables) -> DataFrame:
     return graph.triangles(edges(t))
 
 
-@query(f"""WITH e AS ({EDGES}), nodes AS (SELECT src AS node FROM e UNION SELECT dst FROM e), m AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS d FROM e),
-r0 AS (SELECT node, 1.0 / (SELECT count(*) FROM nodes) AS rank FROM nodes),
-r1 AS (SELECT n.node, CAST(0.15 AS DOUBLE) + CAST(0.85 AS DOUBLE) * coalesce(sum(CAST(r.rank AS DOUBLE) / m.d), 0) AS rank FROM nodes n LEFT JOIN m ON m.dst = n.node LEFT JOIN r0 r ON r.node = m.src GROUP BY 1),
-r2 AS (SELECT n.node, CAST(0.15 AS DOUBLE) + CAST(0.85 AS DOUBLE) * coalesce(sum(r.rank / m.d), 0) AS rank FROM nodes n LEFT JOIN m ON m.dst = n.node LEFT JOIN r1 r ON r.node = m.src GROUP BY 1)
-SELECT node, round(rank, 6) AS rank FROM r2""")
+ROUNDS = 20
+PAGERANK_SQL = f"""WITH RECURSIVE e AS MATERIALIZED ({EDGES}), nodes AS MATERIALIZED (SELECT src AS node FROM e UNION SELECT dst FROM e),
+m AS MATERIALIZED (SELECT src, dst, CAST(count(*) OVER (PARTITION BY src) AS DOUBLE) AS d FROM e),
+r AS (SELECT 0 AS i, node, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS rank FROM nodes
+UNION ALL
+SELECT i, node, 0.15::DOUBLE + 0.85::DOUBLE * sum(part) AS rank FROM (
+  SELECT r.i + 1 AS i, m.dst AS node, r.rank / m.d AS part FROM r JOIN m ON m.src = r.node WHERE r.i < {ROUNDS}
+  UNION ALL SELECT r.i + 1, r.node, 0.0::DOUBLE FROM r WHERE r.i < {ROUNDS}) GROUP BY 1, 2)
+SELECT node, round(rank, 6) AS rank FROM r WHERE i = {ROUNDS}"""
+
+
+@query(PAGERANK_SQL)
 def graph_pagerank(t: Tables) -> DataFrame:
-    return graph.pagerank(edges(t), 2).select("node", F.round("rank", 6).alias("rank"))
+    return graph.pagerank(edges(t), ROUNDS).select("node", F.round("rank", 6).alias("rank"))
 
 
 @query(f"""WITH e AS (SELECT * FROM ({EDGES}) WHERE src <> dst), m AS (SELECT e.src, e.dst FROM e JOIN e f ON e.src = f.dst AND e.dst = f.src),
@@ -71,8 +79,17 @@ def graph_clustering(t: Tables) -> DataFrame:
     return graph.clustering(edges(t)).select("node", F.round("coefficient", 6).alias("coefficient"))
 
 
-@query("SELECT doc_id, substr(seq, 1, 13) AS seq FROM (SELECT doc_id, substr(text, 1, 20) AS seq FROM documents WHERE length(text) >= 20) WHERE NOT regexp_matches(seq, '^[TN][hN][eN][ N]')")
+@query("SELECT doc_id, split_part(line, chr(9), 1) AS name, substr(split_part(line, chr(9), 2), 1, 13) AS seq FROM (SELECT doc_id, source || chr(9) || text || chr(9) || lang || chr(9) || n_chars AS line FROM documents) WHERE NOT regexp_matches(split_part(line, chr(9), 2), '^[AN][GN][AN][TN]')")
 def wrangle_sequences(t: Tables) -> Table:
-    """Drops rows whose sequence begins with an adapter (N matches anything) and cuts the others to 13 characters."""
-    seq = t.documents.where(lambda d: F.length(d.text) >= 20).select(lambda d: {"doc_id": d.doc_id, "seq": F.substring(d.text, 1, 20)})
-    return seq.where(lambda r: ~r.seq.rlike("^[TN][hN][eN][ N]")).select(lambda r: {"doc_id": r.doc_id, "seq": F.substring(r.seq, 1, 13)})
+    """Lines of four columns parted by tabs: drops those whose sequence begins with the adapter AGAT (N matches anything;
+    shorter sequences never match) and cuts the others' to 13 characters."""
+    lines = t.documents.select(lambda d: {"doc_id": d.doc_id, "line": F.concat(d.source, F.lit("\t"), d.text, F.lit("\t"), d.lang, F.lit("\t"), d.n_chars.cast("string"))})
+    cut = lines.select(lambda r: {"doc_id": r.doc_id, "name": F.split_part(r.line, F.lit("\t"), F.lit(1)), "seq": F.split_part(r.line, F.lit("\t"), F.lit(2))})
+    return cut.where(lambda r: ~r.seq.rlike("^[AN][GN][AN][TN]")).select(lambda r: {"doc_id": r.doc_id, "name": r.name, "seq": F.substring(r.seq, 1, 13)})
+
+
+@query("SELECT (SELECT count(*) FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-02' AND event_type = 'click' AND value > 50) AS retweets, (SELECT count(*) FROM events WHERE event_type = 'click') AS tweets")
+def tweet_filters(t: Tables) -> DataFrame:
+    """A date, a language and a flag filter one table twice; both counts come from one pass."""
+    tweets = t.events.where(lambda e: e.event_type == "click")
+    return tweets.aggregate(lambda e: {"retweets": F.count_if((e.ts.cast("date") >= S.date("2024-01-02")) & (e.value > 50)), "tweets": F.count(F.lit(1))}).df

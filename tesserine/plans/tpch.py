@@ -50,10 +50,11 @@ WHERE cost = (SELECT min(d.cost) FROM c d WHERE d.p_partkey = c.p_partkey)
 ORDER BY s_acctbal DESC, n_name, s_name, p_partkey LIMIT 10
 """)
 def q2(t: Tables) -> Table:
-    supply = t.lineitem.group_by(lambda l: (l.l_partkey, l.l_suppkey)).select(lambda g: {"partkey": g.key._1, "suppkey": g.key._2, "cost": F.round(g.min(lambda l: l.l_extendedprice / l.l_quantity), 4)})
+    wanted = t.part.where(lambda p: (p.p_size == 15) & p.p_type.endswith("Y"))
+    supply = t.lineitem.semi_join(wanted, lambda l: l.l_partkey, lambda p: p.p_partkey).group_by(lambda l: (l.l_partkey, l.l_suppkey)).select(lambda g: {"partkey": g.key._1, "suppkey": g.key._2, "cost": F.round(g.min(lambda l: l.l_extendedprice / l.l_quantity), 4)})
     europe = t.nation.join(t.region).where(lambda r: r.r_name == "EUROPE").where_eq(lambda n: n.n_regionkey, lambda r: r.r_regionkey).select(lambda n, r: {"n_nationkey": n.n_nationkey, "n_name": n.n_name})
     suppliers = t.supplier.join(europe).where_eq(lambda s: s.s_nationkey, lambda n: n.n_nationkey).select(lambda s, n: {"s_suppkey": s.s_suppkey, "s_name": s.s_name, "s_acctbal": s.s_acctbal, "n_name": n.n_name})
-    parts = supply.join(t.part).where(lambda p: (p.p_size == 15) & p.p_type.endswith("Y")).where_eq(lambda s: s.partkey, lambda p: p.p_partkey).select(lambda s, p: {"p_partkey": p.p_partkey, "p_type": p.p_type, "suppkey": s.suppkey, "cost": s.cost})
+    parts = supply.join(wanted).where_eq(lambda s: s.partkey, lambda p: p.p_partkey).select(lambda s, p: {"p_partkey": p.p_partkey, "p_type": p.p_type, "suppkey": s.suppkey, "cost": s.cost})
     offers = parts.join(suppliers).where_eq(lambda p: p.suppkey, lambda s: s.s_suppkey).select(lambda p, s: {"s_acctbal": s.s_acctbal, "s_name": s.s_name, "n_name": s.n_name, "p_partkey": p.p_partkey, "p_type": p.p_type, "cost": p.cost})
     best = offers.where_least(lambda o: o.p_partkey, lambda o: o.cost)
     return best.order_by_descending(lambda o: o.s_acctbal).then_by(lambda o: o.n_name).then_by(lambda o: o.s_name).then_by(lambda o: o.p_partkey).limit(10)

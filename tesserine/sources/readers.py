@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesserine.functions.scalars import parse_boolean
+from tesserine.operators.graph import checkpointed
 
 
 def parse_field(text: Column, kind: T.DataType, permissive: bool = False) -> Column:
@@ -94,8 +95,9 @@ def edge_list(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def renumber(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges between dense numbers, and the table (node, id): numbers follow the order of the nodes."""
     nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
-    # numbers in two steps, so that no single task sorts all nodes: a count of each range, then a rank within it
-    ranged = nodes.repartitionByRange("node").withColumn("part", F.spark_partition_id())
+    # numbers in two steps, so that no single task sorts all nodes: a count of each range, then a rank within it; the
+    # ranges are kept in files, so that both steps and any task that is run again see the same ones
+    ranged = checkpointed(nodes.repartitionByRange("node").withColumn("part", F.spark_partition_id()))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     ids = ranged.join(starts, "part").select("node", (F.col("start") + F.row_number().over(Window.partitionBy("part").orderBy("node")) - 1).alias("id"))
@@ -113,3 +115,25 @@ def matrix(spark: SparkSession, path: str, separator: str = r"\s+") -> DataFrame
     """Rows of numbers as arrays."""
     lines = read_lines(spark, path).filter(F.trim("value") != "")
     return lines.select(F.split(F.trim("value"), separator).cast("array<double>").alias("row"))
+
+
+def vector(spark: SparkSession, path: str) -> DataFrame:
+    """position, value of the numbers of a file, one a line; positions from 0 follow files and lines."""
+    lines = read_lines(spark, path).filter(F.trim("value") != "").withColumn("at", F.monotonically_increasing_id())
+    kept = checkpointed(lines.select(F.shiftright("at", 33).alias("part"), "at", F.trim("value").cast("double").alias("value")))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = kept.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = F.col("at") - F.shiftleft("part", 33)
+    return kept.join(F.broadcast(starts), "part").select((F.col("start") + within).alias("position"), "value")
+
+
+def token_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A token matrix: a line of no meaning, the numbers of documents and tokens, the tokens in one line, then a line for
+    each document: its label, then pairs of a step to the next token's number and its count, ended by -1.
+
+    Gives (doc, label) and (doc, token, n); documents are numbered by their lines, tokens from 0 by their steps."""
+    lines = spark.read.text(path, wholetext=False).select("value", F.monotonically_increasing_id().alias("doc"))
+    rows = lines.filter(F.col("value").rlike(r"(^|\s)-1\s*$")).select("doc", F.split(F.trim("value"), r"\s+").cast("array<int>").alias("v"))
+    size = ((F.size("v") - 2) / 2).cast("int")
+    steps = F.transform(F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.aggregate(F.transform(F.sequence(F.lit(0), i), lambda j: F.get("v", 1 + 2 * j)), F.lit(0), lambda s, x: s + x).alias("token"), F.get("v", 2 + 2 * i).alias("n")))
+    return rows.select("doc", F.get("v", F.lit(0)).alias("label")), rows.select("doc", F.inline(steps))

@@ -21,10 +21,10 @@ def write_lines_sequential(df: DataFrame, path: str, line: F.Column | str = "val
 
 
 def table_text(df: DataFrame, max_rows: int = 100) -> str:
-    """The first rows in a box; an empty table has a box that says so."""
+    """The first rows in a box, under the columns' names; a table without rows is its names and a note."""
     rows = [["" if x is None else str(x) for x in r] for r in df.limit(max_rows + 1).collect()]
     if not rows:
-        return "=====================\n|  EMPTY TABLE  |\n====================="
+        return f"{' | '.join(df.columns)}\n(no rows)"
     more = len(rows) > max_rows
     grid = [df.columns, *rows[:max_rows]]
     width = [max(len(r[i]) for r in grid) for i in range(len(df.columns))]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesserine.functions import arrays as A
+from tesserine.functions import scalars as S
 from tesserine.operators import graph, learning
 from tesserine.operators.table import Table
 from tesserine.sources import readers, sinks
@@ -110,7 +111,7 @@ def test_sinks(spark, tmp_path):
     sinks.write_lines(df, path, F.col("id"))
     sinks.write_lines_sequential(df, path, F.col("id"), append=True)
     assert readers.read_lines(spark, path).count() == 10
-    assert "EMPTY" in sinks.table_text(df.filter("false")) and sinks.table_text(df, 2).endswith("...")
+    assert "no rows" in sinks.table_text(df.filter("false")) and sinks.table_text(df, 2).endswith("...")
     took = {}
     with sinks.timed("x", took, df):
         sinks.materialise(df)
@@ -148,3 +149,85 @@ def test_support_vector_machine(spark):
     # the widest street between the classes is |a| < 1
     assert abs(a - 1) < 0.05 and abs(b) < 0.05 and abs(bias) < 0.2
     assert support_vector_machine(df.filter("false"), xs, F.col("y")) == [0.0, 0.0, 0.0]
+
+
+def test_helper_columns_hide_nothing(spark):
+    rows = Table.of(spark, [(1, 5, 9), (1, 3, 8), (2, 4, 7), (None, 1, 6)], "k int, rank int, least int")
+    assert set(values(rows.distinct(lambda r: r.k, order=lambda r: r.rank))) == {(1, 3, 8), (2, 4, 7), (None, 1, 6)}
+    assert set(values(rows.where_least(lambda r: r.k, lambda r: r.rank))) == {(1, 3, 8), (2, 4, 7)}
+    assert values(rows.at(1, lambda r: r.rank)) == [(1, 3, 8)]
+    got = rows.group_by(lambda r: {"rank": r.k}).select(lambda g: {"k": g.key, "s": g.sum(lambda r: r.rank), "few": g.where(lambda r: r.rank > 4).sum(lambda r: r.least)})
+    assert set(values(got)) == {(1, 8, 9), (2, 4, 0), (None, 1, 0)}
+
+
+def test_whole_numbers_stay_exact(spark):
+    big = 2**53 + 1
+    t = Table.of(spark, [(big,)], "x long")
+    assert t.int_average(lambda r: r.x).scalar() == big
+    assert values(t.select(lambda r: {"a": S.int_divide(r.x, F.lit(1)), "b": S.int_divide(-r.x, F.lit(2))})) == [(big, -(big // 2))]
+    assert t.where(lambda r: r.x < 0).int_average(lambda r: r.x).scalar() is None
+
+
+def test_reductions_by_function(spark, items):
+    assert items.reduce(lambda i: i.quantity, 0, max).scalar() == 1000
+    assert items.where(lambda i: i.id > 9).reduce(lambda i: i.quantity, 0, max).scalar() == 0
+    assert set(values(items.group_by(lambda i: i.status).reduce(lambda i: i.quantity, 0, max, salts=2))) == {("N", 1000), ("B", 0), ("S", 18)}
+
+
+def test_similarity_in_blocks(spark):
+    """Pairs of a user's items are the same whatever the size of blocks, and agree with the definition."""
+    import random
+
+    draw = random.Random(2)
+    rows = [(u, i, float(draw.randint(1, 9))) for u in range(12) for i in range(30) if draw.random() < 0.6]
+    df = spark.createDataFrame(rows, "user long, item long, rating double")
+    by = {(u, i): x for u, i, x in rows}
+    want = {}
+    for a in range(30):
+        for b in range(a + 1, 30):
+            both = [(by[u, a], by[u, b]) for u in range(12) if (u, a) in by and (u, b) in by]
+            if both:
+                ma, mb = (sum(v) / len(both) for v in zip(*both, strict=True))
+                num = sum((x - ma) * (y - mb) for x, y in both)
+                want[a, b] = (len(both), num / ((sum((x - ma) ** 2 for x, _ in both) * sum((y - mb) ** 2 for _, y in both)) ** 0.5 + 1))
+    for block in (4, 500):
+        got = {(r["item_a"], r["item_b"]): (r["common"], r["similarity"]) for r in learning.item_similarity(df, block=block).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k][0] == n and abs(got[k][1] - s) < 1e-9 for k, (n, s) in want.items())
+
+
+def test_clustering_and_triangles_by_definition(spark):
+    import itertools
+    import random
+
+    draw = random.Random(4)
+    edges = {(draw.randrange(25), draw.randrange(25)) for _ in range(260)}
+    df = spark.createDataFrame([*edges, (3, 3), (3, 3)], "src long, dst long")
+    linked = {frozenset(e) for e in edges if e[0] != e[1]}
+    assert graph.triangles(df).first()[0] == sum(all(frozenset(p) in linked for p in itertools.combinations(t, 2)) for t in itertools.combinations(range(25), 3))
+    want = {}
+    for n in {x for e in edges if e[0] != e[1] for x in e}:
+        near = [m for m in range(25) if m != n and (n, m) in edges and (m, n) in edges]
+        hits = sum(((t, u) in edges) + ((u, t) in edges) for t in near for u in near if t != u)
+        want[n] = hits / (2 * len(near) * (len(near) - 1)) if len(near) >= 2 else 0.0
+    got = {r["node"]: r["coefficient"] for r in graph.clustering(df).collect()}
+    assert got.keys() == want.keys() and all(abs(got[n] - c) < 1e-9 for n, c in want.items())
+
+
+def test_k_medoids(spark):
+    pts = spark.createDataFrame([(i, [float(10 * (i % 3)) + 0.1 * (i // 3), 0.0]) for i in range(30)], "id long, p array<double>")
+    # the middle of ten points in a row is one of its two middle ones
+    assert [k % 3 for k in sorted(learning.k_medoids(pts, "id", "p", 3), key=lambda k: k % 3)] == [0, 1, 2]
+    assert all(k // 3 in (4, 5) for k in learning.k_medoids(pts, "id", "p", 3))
+    assert learning.k_medoids(pts.limit(0), "id", "p", 3) == []
+
+
+def test_vector_and_token_matrix(spark, tmp_path):
+    (tmp_path / "v").mkdir()
+    (tmp_path / "v" / "a.txt").write_text("1.5\n2\n\n")
+    (tmp_path / "v" / "b.txt").write_text("-3e2\n")
+    assert sorted(map(tuple, readers.vector(spark, str(tmp_path / "v")).collect())) == [(0, 1.5), (1, 2.0), (2, -300.0)]
+    (tmp_path / "m").write_text("a table\n2 4\nalpha beta gamma delta\n1 0 3 2 1 -1\n0 3 5 -1\n0 -1\n")
+    labels, counts = readers.token_matrix(spark, str(tmp_path / "m"))
+    assert [r["label"] for r in labels.orderBy("doc").collect()] == [1, 0, 0]
+    assert [(r["token"], r["n"]) for r in counts.orderBy("doc", "token").collect()] == [(0, 3), (2, 1), (3, 5)]
