@@ -26,9 +26,12 @@ LOWER_ASCII = {c: c + 32 for c in range(65, 91)}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset and Spark runs on this
+    machine alone, a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster, set spark.checkpoint.dir to a folder that all machines share")
         base = f"file://{tempfile.mkdtemp(prefix='tesserine-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

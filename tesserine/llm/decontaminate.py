@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import Tokens, annotate, hash_strings, mix, ragged, slices, texts_of, words
+from tesserine.llm.common import Tokens, annotate, hash_strings, mix, ragged, slices, texts_of, unused, words
 
 OTHER = regex.compile(r"[^\p{L}\p{N}]+")
 NOTHING = np.uint64(0)
@@ -218,7 +218,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, mi
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, min_words: int = 5, block_items: int = 20_000, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs that no item matches, in one pass for each block of items and without a shuffle."""
-    columns = docs.columns
+    columns, flag = [F.col(f"`{c}`") for c in docs.columns], unused(docs, "leaks")
     for plan in plans(benchmark, max_edits, min_words, block_items, item_key, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(plan)  # at most block_items items
 
@@ -232,5 +232,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2,
 
             return leaks
 
-        docs = annotate(docs, make, {"__leaks": "boolean"}, text).filter("NOT __leaks").select(*columns)
+        docs = annotate(docs, make, {flag: "boolean"}, text).filter(~F.col(flag)).select(*columns)
     return docs

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import annotate, slices
+from tesserine.llm.common import annotate, slices, unused
 
 SLOTS = 128
 UNKNOWN = "und"
@@ -153,6 +153,13 @@ def identify(docs: DataFrame, profiles: Profiles, key: str = "doc_id", text: str
     return annotated(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")), profiles, "t").select("doc_id", "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, profiles: Profiles, min_score: float = 0.05, text: str = "text") -> DataFrame:
-    """The rows of docs that have a language: those with a letter whose cosine with some prototype is min_score or more."""
-    return annotated(docs, profiles, text, ("__lang", "__cosine")).filter((F.col("__lang") != UNKNOWN) & (F.col("__cosine") >= min_score)).select(*docs.columns)
+def accepted(docs: DataFrame, profiles: Profiles, min_score: float = 0.1, text: str = "text") -> DataFrame:
+    """The rows of docs that have a language: those with a letter whose cosine with some prototype is high enough.
+
+    Long texts need min_score. A short text has few n-grams and a low cosine even with its own language, so from 256
+    characters down the bar falls with the logarithm of the length, to half of min_score for 16 characters and fewer."""
+    lang, cosine = unused(docs, "lang_found"), unused(docs, "cosine")
+    size = F.log2(F.greatest(F.char_length(F.coalesce(F.col(f"`{text}`"), F.lit(""))), F.lit(16)))
+    bar = F.lit(min_score) * F.least(F.lit(1.0), F.lit(0.5) + (size - 4) / 8)
+    found = annotated(docs, profiles, text, (lang, cosine))
+    return found.filter((F.col(lang) != UNKNOWN) & (F.col(cosine) >= bar)).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import Tokens, annotate, hash_strings, mix, slices, texts_of, words
+from tesserine.llm.common import Tokens, annotate, hash_strings, mix, slices, texts_of, unused, words
 
 #: Bin edges of the share statistics, and of the statistics that count something.
 SHARES = np.array([0.005, 0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.65, 0.8, 0.9, 0.97])
@@ -183,4 +183,5 @@ def score(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "t
 
 def accepted(docs: DataFrame, machine: Machine, min_score: float = 0.7, text: str = "text") -> DataFrame:
     """The rows of docs whose score is min_score or more."""
-    return annotated(docs, machine, text, "__quality").filter(F.col("__quality") >= min_score).select(*docs.columns)
+    score = unused(docs, "quality")
+    return annotated(docs, machine, text, score).filter(F.col(score) >= min_score).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -240,6 +240,20 @@ def test_language_id(spark, odd, none):
     assert {r["lang_pred"] for r in language_id.identify(odd, language_id.learn(none, F.lit(True))).collect()} == {"und"}
 
 
+def test_language_accepted(spark):
+    """Texts in languages and letters that weren't learned go, learned ones stay, columns of any name pass through."""
+    docs = documents(spark)
+    p = language_id.learn(docs, F.lit(True))
+    draw = random.Random(1)
+    letters = lambda n: " ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(2, 9))) for _ in range(n))
+    foreign = ["Это предложение написано по-русски, и его никто не учил. " * 4, "这是一个没有学过的中文句子。" * 12, letters(100), letters(400)]
+    rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(foreign)], "doc_id long, text string, lang_found string")
+    assert language_id.accepted(rows, p).count() == 0
+    kept = language_id.accepted(docs.withColumn("cosine", F.lit("mine")), p)
+    assert kept.count() == docs.filter(F.col("text").rlike(r"\p{L}")).count()
+    assert {r["cosine"] for r in kept.collect()} == {"mine"}
+
+
 def test_sentencepieces(spark, odd, none):
     path = public_tokenizers.path("piece_bpe_32k.model")
     m = sentencepieces.model(path)
