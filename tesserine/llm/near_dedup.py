@@ -224,7 +224,7 @@ def banded(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
     """The distinct band keys of each row's text, for all its weightings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "t", 2 << 20):
+        for part in slices(batches, "t", 1 << 20):
             owner, s, w, sizes = measured(texts_of(part, "t"))
             keys = band_keys(signatures(s, w, sizes, bands * per_band), bands, per_band)
             pairs = np.stack([np.repeat(owner, bands), keys.ravel()])
@@ -330,7 +330,7 @@ def rest_pairs(open_: DataFrame, threshold: float) -> DataFrame:
     shared = open_.sparkSession.sparkContext.broadcast(counted(open_))  # CELLS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "t", 2 << 20):
+        for part in slices(batches, "t", 1 << 20):
             owner, s, share, sets, parities = rare_shingles(texts_of(part, "t"), shared.value, threshold)
             at = pa.array(owner)
             columns = [part["node"].take(at), part["root"].take(at), pa.array(s.view(np.int64)), pa.array(share), pa.array(sets, pa.int64()), *(pa.array(np.ascontiguousarray(x)) for x in parities.T)]
