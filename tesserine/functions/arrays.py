@@ -155,10 +155,19 @@ def make_string(a: Column, separator: str = "") -> Column:
     return F.array_join(F.transform(a, lambda x: x.cast("string")), separator)
 
 
+def bound(a: Column, f: Fn) -> Column:
+    """f of a, which is computed once however often f names it."""
+    return F.get(F.transform(F.array(a), f), F.lit(0))
+
+
 def pairs(a: Column) -> Column:
     """Neighbouring elements as structs (src, dst); null for fewer than two."""
-    n = F.size(a)
-    return F.when(n > 1, F.zip_with(F.slice(a, F.lit(1), n - 1), F.slice(a, F.lit(2), n - 1), lambda x, y: F.struct(x.alias("src"), y.alias("dst"))))
+
+    def neighbours(x: Column) -> Column:
+        n = F.size(x)
+        return F.when(n > 1, F.zip_with(F.slice(x, F.lit(1), n - 1), F.slice(x, F.lit(2), n - 1), lambda p, q: F.struct(p.alias("src"), q.alias("dst"))))
+
+    return bound(a, neighbours)
 
 
 def group_by(a: Column, key: Fn) -> Column:

@@ -80,33 +80,21 @@ def unnormalised_step(df: DataFrame, xs: Sequence[Column], y: Column) -> list[fl
 
 
 def logistic_regression(df: DataFrame, xs: Sequence[Column], y: Column, rate: float = 1.0, tolerance: float = 1e-3, most: int = 30) -> list[float]:
-    """Batch gradient steps, each one pass with the same plan; the step is the mean gradient times the rate. Rows with a
-    null take no part."""
-    import numpy as np
-    import pyarrow as pa
-
-    rows = df.select(F.array(*(x.cast("double") for x in [*xs, y])).alias("p")).filter(~F.exists("p", lambda x: x.isNull())).persist(StorageLevel.MEMORY_AND_DISK)
-    theta = np.zeros(len(xs))
-    for _ in range(most):
-
-        def gradient(batches: Iterator[pa.RecordBatch], theta: np.ndarray = theta) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(theta) + 1)
-            for batch in batches:
-                p = np.asarray(batch["p"].flatten()).reshape(-1, len(theta) + 1)
-                wrong = p[:, -1] - 1 / (1 + np.exp(-(p[:, :-1] @ theta)))
-                total += [*(wrong @ p[:, :-1]), len(p)]
-            yield pa.RecordBatch.from_pydict({"g": pa.array([total.tolist()], pa.list_(pa.float64()))})
-
-        parts = rows.mapInArrow(gradient, "g array<double>").select(F.posexplode("g").alias("i", "v"))
-        got = dict(parts.groupBy("i").agg(F.sum("v").alias("v")).collect())  # a row for each parameter
-        if not got.get(len(xs)):
-            break
-        step = rate * np.array([got[i] for i in range(len(xs))]) / got[len(xs)]
-        theta = theta + step
-        if np.abs(step).sum() < tolerance:
+    """Batch gradient steps, each one aggregation; the step is the mean gradient times the rate. Rows with a null take no
+    part."""
+    names = [f"x{i}" for i in range(len(xs))]
+    rows = df.select(*(x.cast("double").alias(n) for x, n in zip(xs, names, strict=True)), y.cast("double").alias("y")).dropna().persist(StorageLevel.MEMORY_AND_DISK)
+    theta = [0.0] * len(xs)
+    n = rows.count()
+    for _ in range(most if n else 0):
+        z = reduce(lambda a, b: a + b, [F.lit(t) * F.col(x) for t, x in zip(theta, names, strict=True)])
+        wrong = F.col("y") - 1 / (1 + F.exp(-z))
+        step = [rate * g / n for g in rows.agg(*(F.sum(wrong * F.col(x)) for x in names)).first()]
+        theta = [t + s for t, s in zip(theta, step, strict=True)]
+        if sum(map(abs, step)) < tolerance:
             break
     rows.unpersist()
-    return theta.tolist()
+    return theta
 
 
 def support_vector_machine(df: DataFrame, xs: Sequence[Column], y: Column, cost: float = 1.0, tolerance: float = 1e-3, most: int = 100) -> list[float]:
