@@ -148,7 +148,7 @@ def naive_bayes(tokens: DataFrame, token: str = "token", label: str = "label", m
 
 def naive_bayes_classify(tokens: DataFrame, model: DataFrame, priors: DataFrame, key: str = "key", token: str = "token", label: str = "label") -> DataFrame:
     """key, predicted: of each key's tokens the label with the highest sum of log_p and log_prior over all of them (each
-    token brings the prior again, as the reference's sums do); ties go to the smaller label. Unknown tokens don't count."""
+    token brings the prior again); ties go to the smaller label. Unknown tokens don't count."""
     known = tokens.groupBy(key, token).agg(F.count(F.lit(1)).alias("times")).join(model, token)
     scores = known.join(F.broadcast(priors), label).groupBy(key, label).agg(F.sum(F.col("times") * (F.col("log_p") + F.col("log_prior"))).alias("score"))  # a row for each label
     best = F.min_by(label, F.struct(-F.round("score", 9), F.col(label)))
