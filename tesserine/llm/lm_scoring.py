@@ -1,19 +1,26 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
 Counts. Words and word pairs of the training texts are hashed to 64 bits and counted in each batch first; a batch ships,
-for each partition of the hash space, its sorted distinct keys with their counts as two byte strings, so that the
-shuffle holds 9 bytes for a key or little more. A partition adds up its keys.
+for each partition of the hash space, its sorted distinct keys with their counts and the predecessors of its pairs as byte
+strings, so that the shuffle holds 9 bytes for a word and 17 for a pair or little more. A partition adds up its keys.
 
 Filter. A count c is quantised to level 1 + floor(log_base(c)). A partition's part of the filter is a bit array sized by
 its own insertions: a key of level L is inserted together with each of 1..L. A lookup probes levels 1, 2, ... until one
 is missing; errors are one-sided and fall with each level. Besides the filter, a partition keeps its words' exact counts
-for the base score.
+for the base score. Words without a count are known as such, and pairs with one have level 0 whatever the filter says.
+
+Normalisers. A partition looks its own keys up in its filter, so that what the filter gets wrong is summed as it will be
+answered: q(u), the sum of q(u,w) over the training pairs of u, is added up by predecessor over the partitions, and kept
+with each word as 16 bits of its logarithm (a relative error of at most 0.0004); the sum of q(w) over all words is one
+number. So the probabilities of all words that followed u and of the rest sum to 1, but for pairs that never occurred and
+that the filter takes for others.
 
 Scoring. The parts are broadcast in groups of bounded size, and each group resolves the keys that hash to its parts; if
 one group doesn't hold all parts, the levels found so far travel with the texts in a written table from group to group.
-The levels of all tokens, two bytes each, are then a table from which weights are fitted and scores computed. The probability of word w after u is ``b * q(u,w) / q(u) + (1 - b) * p(w)``, q being the middle
-of the count's level, p the unigram with 0.5 added to each count; b depends on u's level and is fitted by expectation
-maximisation on leave-one-out counts of all training tokens (their counts by levels, a small table).
+The levels and normalisers of all tokens, four bytes each, are then a table from which weights are fitted and scores
+computed. The probability of word w after u is ``b * q(u,w) / q(u) + (1 - b) * p(w)``, q being the middle of the count's
+level, p(w) = (q(w) + 0.5) / (sum of q + 0.5 * (V + 1)); b depends on u's level and is fitted by expectation maximisation
+on leave-one-out counts of all training tokens (their counts by levels, a small table).
 
 Sentence context: a text begins after the end token, and ends with it. The first token is scored after the end.
 
@@ -33,11 +40,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import LOWER_ASCII, Tokens, hash_strings, mix, parts_for, ragged, slices, texts_of, words, written
+from tesserine.llm.common import LOWER_ASCII, Tokens, dropped, hash_strings, mix, parts_for, ragged, slices, texts_of, words, written
 
 END = np.uint64(0xD1B54A32D192ED03)
 PROBES, BITS_PER_KEY, BASE = 4, 8, 1.6
 LEVELS = 64
+#: Steps of the logarithm of a word's normaliser; 0 stands for none.
+STEPS = 1500
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
@@ -53,6 +62,15 @@ def middle_counts() -> np.ndarray:
     return out
 
 
+def log_codes(sums: np.ndarray) -> np.ndarray:
+    """16-bit codes of sums of 1 and more (0 for none)."""
+    return np.where(sums > 0, 1 + np.round(STEPS * np.log(np.maximum(sums, 1))), 0).astype(np.uint16)
+
+
+def from_codes(codes: np.ndarray) -> np.ndarray:
+    return np.where(codes > 0, np.exp((codes.astype(np.float64) - 1) / STEPS), 0)
+
+
 class Stream:
     """The tokens of a slice of texts, each text's end token included: distinct hashes, codes into them, and the bounds."""
 
@@ -64,13 +82,14 @@ class Stream:
         if len(t.codes):
             self.codes[ragged(self.bounds[:-1], np.diff(t.bounds))] = t.codes
 
+    def before(self) -> np.ndarray:
+        """The code of each token's predecessor (the end token for the first of a text)."""
+        return shifted(self.codes, self.bounds, len(self.distinct) - 1)
+
     def pairs(self) -> np.ndarray:
-        """The key of each token after its predecessor (the end token for the first of a text)."""
-        before = np.empty_like(self.codes)
-        before[1:] = self.codes[:-1]
-        before[self.bounds[:-1]] = len(self.distinct) - 1
+        """The key of each token after its predecessor."""
         left, right = self.distinct * np.uint64(0x9FB21C651E98DF25), mix(self.distinct)
-        return mix(left[before] + right[self.codes]) | np.uint64(1)
+        return mix(left[self.before()] + right[self.codes]) | np.uint64(1)
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -93,11 +112,12 @@ def places(keyed: np.ndarray, bits: np.ndarray, probe: int) -> np.ndarray:
     return ((h * bits.astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
 
 
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def summed(keys: np.ndarray, counts: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, their counts added up, and what else belongs to a key."""
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
     new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[new], np.add.reduceat(counts, new) if len(keys) else counts
+    return keys[new], np.add.reduceat(counts, new) if len(keys) else counts, *(x[order[new]] for x in others)
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
@@ -118,48 +138,93 @@ def count_parts(docs: DataFrame, text: str, parts: int) -> DataFrame:
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in slices(batches, "t", 6 << 20):
             stream = Stream(texts_of(chunk, "t"))
-            pair, pair_count = np.unique(stream.pairs(), return_counts=True)
-            # a key's low bit says what it counts, so that both kinds travel together
-            keys = np.concatenate([stream.distinct, pair])
-            counts = np.concatenate([np.bincount(stream.codes, minlength=len(stream.distinct)), pair_count])
-            keys, counts = keys[counts > 0], counts[counts > 0]
-            where = part_of(keys, parts)
-            order = np.argsort(where, kind="stable")
-            keys, counts, where = keys[order], counts[order], where[order]
-            ends = np.searchsorted(where, np.arange(parts + 1))
-            own = [p for p in range(parts) if ends[p] < ends[p + 1]]
-            yield pa.RecordBatch.from_pydict({"part": pa.array(own, pa.int32()), "keys": [keys[ends[p] : ends[p + 1]].tobytes() for p in own], "counts": [pack_counts(counts[ends[p] : ends[p + 1]]) for p in own]})
+            pair, at, pair_count = np.unique(stream.pairs(), return_index=True, return_counts=True)
+            own_count = np.bincount(stream.codes, minlength=len(stream.distinct))
+            kinds = [(stream.distinct[own_count > 0], own_count[own_count > 0], None), (pair, pair_count, stream.distinct[stream.before()[at]])]
+            for keys, counts, before in kinds:
+                where = part_of(keys, parts)
+                order = np.argsort(where, kind="stable")
+                keys, counts, where = keys[order], counts[order], where[order]
+                before = np.zeros(0, np.uint64) if before is None else before[order]
+                ends = np.searchsorted(where, np.arange(parts + 1))
+                own = [p for p in range(parts) if ends[p] < ends[p + 1]]
+                cut = [slice(ends[p], ends[p + 1]) for p in own]
+                yield pa.RecordBatch.from_pydict({"part": pa.array(own, pa.int32()), "keys": pa.array([keys[c].tobytes() for c in cut], pa.binary()), "counts": pa.array([pack_counts(counts[c]) for c in cut], pa.binary()), "before": pa.array([before[c].tobytes() for c in cut], pa.binary())})
 
     def build(part: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        total = {False: none[:2], True: none}  # words, pairs
+        held: dict[bool, list[tuple[np.ndarray, ...]]] = {False: [], True: []}
         size = 0
 
-        def fold() -> tuple[np.ndarray, np.ndarray]:
-            return summed(np.concatenate([keys, *(h[0] for h in held)]), np.concatenate([counts, *(h[1] for h in held)]))
+        def fold(pair: bool) -> tuple[np.ndarray, ...]:
+            return summed(*map(np.concatenate, zip(total[pair], *held[pair], strict=True)))
 
         for batch in batches:
-            for k, c in zip(batch["keys"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+            for k, c, u in zip(*(batch[x].to_pylist() for x in ("keys", "counts", "before")), strict=True):
                 got = np.frombuffer(k, np.uint64)
-                held.append((got, unpack_counts(c, len(got))))
+                row = (got, unpack_counts(c, len(got)))
+                held[len(u) > 0].append((*row, np.frombuffer(u, np.uint64)) if u else row)
                 size += len(got)
                 if size > 2_000_000:
-                    (keys, counts), held, size = fold(), [], 0
-        keys, counts = fold()
-        inserted = insertions(keys, levels_of(counts))
+                    for pair in held:
+                        total[pair], held[pair] = fold(pair), []
+                    size = 0
+        (words_, counts), (pairs, pair_counts, before) = fold(False), fold(True)
+        keys, all_counts = np.concatenate([words_, pairs]), np.concatenate([counts, pair_counts])
+        inserted = insertions(keys, levels_of(all_counts))
         bits = np.array([max(64, len(inserted) * BITS_PER_KEY)])
         field = np.zeros(int(bits[0] + 7) // 8 * 8, bool)
         for probe in range(PROBES):
             field[places(inserted, bits, probe)] = True
-        word = keys & np.uint64(1) == 0
+        del inserted
+        packed = np.packbits(field, bitorder="little")
+        answered = middle_counts()[probed(keys, levels_of(all_counts), packed, bits)]
+        # what this part adds to the normaliser of each predecessor, for the part that holds the predecessor
+        order = np.argsort(before, kind="stable")
+        owner, mass = summed(before[order], answered[len(words_) :][order])
+        to = part_of(owner, parts)
+        order = np.argsort(to, kind="stable")
+        owner, mass, to = owner[order], mass[order], to[order]
+        ends = np.searchsorted(to, np.arange(parts + 1))
+        own = [p for p in range(parts) if ends[p] < ends[p + 1]]
+        sums = [{"to": p, "owner": owner[ends[p] : ends[p + 1]].tobytes(), "mass": mass[ends[p] : ends[p + 1]].tobytes()} for p in own]
         yield pa.RecordBatch.from_pydict({
-            "part": pa.array([part[0].as_py()], pa.int32()), "n_bits": pa.array([int(bits[0])], pa.int64()), "bits": [np.packbits(field, bitorder="little").tobytes()],
-            "n_tokens": [int(counts[word].sum())], "n_words": [int(word.sum())], "words": [keys[word].tobytes()], "word_counts": [counts[word].astype("<i8").tobytes()],
+            "part": pa.array([part[0].as_py()], pa.int32()), "n_bits": pa.array([int(bits[0])], pa.int64()), "bits": [packed.tobytes()],
+            "n_tokens": [int(counts.sum())], "n_words": [len(words_)], "word_mass": [float(answered[: len(words_)].sum())],
+            "words": [words_.tobytes()], "word_counts": [counts.astype("<i8").tobytes()], "sums": pa.array([sums], pa.list_(pa.struct([("to", pa.int32()), ("owner", pa.binary()), ("mass", pa.binary())]))),
         })
 
-    shipped = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(ship, "part int, keys binary, counts binary")
-    schema = "part int, n_bits long, bits binary, n_tokens long, n_words long, words binary, word_counts binary"
-    return written(shipped.groupBy("part").applyInArrow(build, schema), "lm")
+    def normalisers(part: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, mass = np.zeros(0, np.uint64), np.zeros(0)
+        for batch in batches:
+            for o, m in zip(batch["owner"].to_pylist(), batch["mass"].to_pylist(), strict=True):
+                owner, mass = summed(np.concatenate([owner, np.frombuffer(o, np.uint64)]), np.concatenate([mass, np.frombuffer(m)]))
+        # every word of the part precedes something, so these are its words in their order
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part[0].as_py()], pa.int32()), "word_sums": [log_codes(mass).tobytes()]})
+
+    shipped = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(ship, "part int, keys binary, counts binary, before binary")
+    schema = "part int, n_bits long, bits binary, n_tokens long, n_words long, word_mass double, words binary, word_counts binary, sums array<struct<to:int,owner:binary,mass:binary>>"
+    built = written(shipped.groupBy("part").applyInArrow(build, schema), "lm")
+    sums = built.select(F.inline("sums")).select(F.col("to").alias("part"), "owner", "mass").groupBy("part").applyInArrow(normalisers, "part int, word_sums binary")
+    parts_ = written(built.drop("sums").join(sums, "part", "left").withColumn("word_sums", F.coalesce("word_sums", F.lit(b""))), "lm")
+    dropped(built)
+    return parts_
+
+
+def probed(keys: np.ndarray, known: np.ndarray, packed: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The levels that the filter answers for keys inserted up to a known level."""
+    out = known.copy()
+    open_ = np.arange(len(keys))
+    while len(open_):
+        keyed = at_level(keys[open_], (out[open_] + 1).astype(np.uint64))
+        for probe in range(PROBES):
+            at = places(keyed, bits, probe)
+            hit = (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            open_, keyed = open_[hit], keyed[hit]
+        open_ = open_[out[open_] < LEVELS]
+        out[open_] += 1
+    return out
 
 
 class Lookup:
@@ -168,7 +233,7 @@ class Lookup:
     def __init__(self, rows: Iterable, parts: int):
         self.parts = parts
         self.here, self.size, self.base = np.zeros(parts, bool), np.full(parts, 64, np.int64), np.zeros(parts, np.int64)
-        data, keys, counts, at = [np.zeros(0, np.uint8)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], 0
+        data, keys, counts, sums, at = [np.zeros(0, np.uint8)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.uint16)], 0
         for r in rows:
             p = r["part"]
             self.here[p], self.size[p], self.base[p] = True, r["n_bits"], at
@@ -176,11 +241,12 @@ class Lookup:
             keys.append(np.frombuffer(r["words"], np.uint64))
             many = np.frombuffer(r["word_counts"], "<i8")
             counts.append(many.astype(np.uint32) if many.max(initial=0) < 2**32 else many)
+            sums.append(np.frombuffer(r["word_sums"], np.uint16))
             at += 8 * len(data[-1])
-        self.bits, self.words, self.counts = np.concatenate(data), np.concatenate(keys), np.concatenate(counts)
+        self.bits, self.words, self.counts, self.sums = np.concatenate(data), np.concatenate(keys), np.concatenate(counts), np.concatenate(sums)
         # parts are ranges of the upper bits below the top ones, so the words need one more sort
         order = np.argsort(self.words)
-        self.words, self.counts = self.words[order], self.counts[order]
+        self.words, self.counts, self.sums = self.words[order], self.counts[order], self.sums[order]
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Each key's level by repeated probes; 0 for keys of parts that aren't here."""
@@ -199,28 +265,34 @@ class Lookup:
             out[open_] = level
         return out
 
-    def exact(self, keys: np.ndarray) -> np.ndarray:
+    def exact(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words' counts, and the codes of their normalisers."""
         if not len(self.words):
-            return np.zeros(len(keys), np.int64)
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         at = np.minimum(np.searchsorted(self.words, keys), len(self.words) - 1)
-        return np.where(self.words[at] == keys, self.counts[at], 0).astype(np.int64)
+        here = self.words[at] == keys
+        return np.where(here, self.counts[at], 0).astype(np.int64), np.where(here, self.sums[at], 0).astype(np.int64)
 
 
-def resolve(look: Lookup, stream: Stream) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token: the exact count, its level by the filter, and its pair's level, as far as this group holds them."""
-    return look.exact(stream.distinct)[stream.codes], look.levels(stream.distinct)[stream.codes], look.levels(stream.pairs())
+def resolve(look: Lookup, stream: Stream) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token: the exact count, its level by the filter, its pair's level, and the code of the normaliser for what
+    follows it, as far as this group holds them."""
+    exact, sums = look.exact(stream.distinct)
+    level = np.where(exact > 0, look.levels(stream.distinct), 0)
+    return exact[stream.codes], level[stream.codes], look.levels(stream.pairs()), sums[stream.codes]
 
 
-def before_levels(levels: np.ndarray, bounds: np.ndarray, end_level: int) -> np.ndarray:
-    out = np.empty_like(levels)
-    out[1:] = levels[:-1]
-    out[bounds[:-1]] = end_level
+def shifted(values: np.ndarray, bounds: np.ndarray, first: int) -> np.ndarray:
+    """What each token's predecessor has; a text's first token gets what is given for it."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[bounds[:-1]] = first
     return out
 
 
 def groups(parts: DataFrame, n: int, max_bytes: int) -> list[list[int]]:
     """The parts in groups of at most max_bytes (a single larger part is a group of its own)."""
-    sizes = parts.select("part", (F.octet_length("bits") + F.octet_length("words") + F.octet_length("word_counts")).alias("size")).orderBy("part").collect()  # a row for each part
+    sizes = parts.select("part", (F.octet_length("bits") + F.octet_length("words") + F.octet_length("word_counts") + F.octet_length("word_sums")).alias("size")).orderBy("part").collect()  # a row for each part
     out: list[list[int]] = [[]]
     held = 0
     for r in sizes:
@@ -232,8 +304,8 @@ def groups(parts: DataFrame, n: int, max_bytes: int) -> list[list[int]]:
     return out
 
 
-STATE = "k long, held_out boolean, t string, exact binary, level binary, pair binary"
-KINDS = {"exact": "<i8", "level": "u1", "pair": "u1"}
+STATE = "k long, held_out boolean, t string, exact binary, level binary, pair binary, sums binary"
+KINDS = {"exact": "<i8", "level": "u1", "pair": "u1", "sums": "<u2"}
 
 
 def with_levels(docs: DataFrame, parts: DataFrame, n: int, max_bytes: int) -> tuple[DataFrame, object | None]:
@@ -279,33 +351,35 @@ def bounds_of(chunk: pa.RecordBatch) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(chunk["level"]), np.int64))])
 
 
-LOOKED_UP = "k long, held_out boolean, n_tokens long, n_known long, base_score double, level binary, pair binary"
+LOOKED_UP = "k long, held_out boolean, n_tokens long, n_known long, base_score double, level binary, pair binary, sums binary"
 
 
-def look_up(state: DataFrame, shared: object | None, n_tokens: int, n_words: int) -> DataFrame:
-    """Every text's exact figures, and the levels of its tokens and pairs, two bytes a token."""
+def look_up(state: DataFrame, shared: object | None, n_tokens: int, n_words: int, end_level: int) -> DataFrame:
+    """Every text's exact figures, and the levels and normalisers of its tokens and pairs, four bytes a token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = None if shared is None else shared.value
         for chunk in slices(batches, "t"):
             if look is None:
-                bounds, (exact, level, pair) = bounds_of(chunk), (joined(chunk, c) for c in KINDS)
+                bounds, (exact, level, pair, sums) = bounds_of(chunk), [joined(chunk, c) for c in KINDS]
             else:
                 stream = Stream(texts_of(chunk, "t"))
-                bounds, (exact, level, pair) = stream.bounds, resolve(look, stream)
+                bounds, (exact, level, pair, sums) = stream.bounds, resolve(look, stream)
             first = bounds[:-1]
-            blobs = [pa.array([x.tobytes() for x in by_text(v.astype(np.uint8), bounds)], pa.binary()) for v in (level, pair)]
+            # a pair of a word that never occurred never occurred
+            pair = np.where((level > 0) & (shifted(level, bounds, end_level) > 0), pair, 0)
+            blobs = [pa.array([x.tobytes() for x in by_text(v.astype(KINDS[c]), bounds)], pa.binary()) for c, v in (("level", level), ("pair", pair), ("sums", sums))]
             figures = [np.diff(bounds), np.add.reduceat((exact > 0).astype(np.int64), first), np.add.reduceat(np.log10(unigram(exact, n_tokens, n_words)), first)]
-            yield pa.RecordBatch.from_arrays([chunk["k"], chunk["held_out"], *map(pa.array, figures), *blobs], ["k", "held_out", "n_tokens", "n_known", "base_score", "level", "pair"])
+            yield pa.RecordBatch.from_arrays([chunk["k"], chunk["held_out"], *map(pa.array, figures), *blobs], ["k", "held_out", "n_tokens", "n_known", "base_score", "level", "pair", "sums"])
 
     return written(state.mapInArrow(run, LOOKED_UP), "looked-up")
 
 
-def unigram(counts: np.ndarray, n_tokens: int, n_words: int) -> np.ndarray:
+def unigram(counts: np.ndarray, n_tokens: float, n_words: int) -> np.ndarray:
     return (counts + 0.5) / (n_tokens + 0.5 * (n_words + 1))
 
 
-def fit_weights(table: dict[tuple[int, int, int], int], n_tokens: int, n_words: int, rounds: int = 30) -> np.ndarray:
+def fit_weights(table: dict[tuple[int, int, int], int], n_tokens: float, n_words: int, rounds: int = 30) -> np.ndarray:
     """The pair model's share for each level of the predecessor, from (pair level, predecessor level, word level) counts.
 
     Leave-one-out: a token's own occurrence is taken out of its counts. Levels without tokens have a share of 0."""
@@ -326,38 +400,42 @@ def fit_weights(table: dict[tuple[int, int, int], int], n_tokens: int, n_words:
     return np.clip(share, 0, 0.999)
 
 
+def probability(level: np.ndarray, pair: np.ndarray, before: np.ndarray, sums: np.ndarray, weights: np.ndarray, mass: float, n_words: int) -> np.ndarray:
+    """Of tokens with these levels, levels of their pairs and predecessors, and codes of the predecessors' normalisers.
+    After a word that never occurred, the unigram alone."""
+    middle = middle_counts()
+    b = np.where((before > 0) & (sums > 0), weights[before], 0)
+    return b * np.minimum(1, middle[pair] / np.maximum(1, from_codes(sums))) + (1 - b) * unigram(middle, mass, n_words)[level]
+
+
 def score(docs: DataFrame, held_out: F.Column, key: str = "doc_id", text: str = "text", max_broadcast_bytes: int = 160 << 20, bytes_per_part: int = 12 << 20) -> DataFrame:
     """Learns from the rows that aren't held out and scores all: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score."""
     rows = docs.select(F.col(key).cast("long").alias("k"), held_out.alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     n = parts_for(rows, bytes_per_part, "t")
     parts = count_parts(rows.filter(~F.col("held_out")), "t", n)
-    n_tokens, n_words = (x or 0 for x in parts.agg(F.sum("n_tokens"), F.sum("n_words")).first())
-    state, shared = with_levels(rows, parts, n, max_broadcast_bytes)
-    table = look_up(state, shared, n_tokens, n_words)
+    n_tokens, n_words, mass = (x or 0 for x in parts.agg(F.sum("n_tokens"), F.sum("n_words"), F.sum("word_mass")).first())
     end = np.array([END & ~np.uint64(1)])
-    end_level = int(Lookup(parts.filter(F.col("part") == int(part_of(end, n)[0])).collect(), n).levels(end)[0])
+    by_end = Lookup(parts.filter(F.col("part") == int(part_of(end, n)[0])).collect(), n)
+    end_level, end_sums = int(by_end.levels(end)[0]), int(by_end.exact(end)[1][0])
+    state, shared = with_levels(rows, parts, n, max_broadcast_bytes)
+    table = look_up(state, shared, n_tokens, n_words, end_level)
     width = LEVELS + 1
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(width**3, np.int64)
         for chunk in slices(batches, "level", 1 << 19):
             level, pair = joined(chunk, "level"), joined(chunk, "pair")
-            cells += np.bincount((pair * width + before_levels(level, bounds_of(chunk), end_level)) * width + level, minlength=width**3)
+            cells += np.bincount((pair * width + shifted(level, bounds_of(chunk), end_level)) * width + level, minlength=width**3)
         code = np.flatnonzero(cells)
         yield pa.RecordBatch.from_pydict({"code": code, "count": cells[code]})
 
     cells = table.filter(~F.col("held_out")).select("level", "pair").mapInArrow(tally, "code long, count long").groupBy("code").agg(F.sum("count").alias("count")).collect()  # at most 65 cubed
-    weights = fit_weights({(r["code"] // width**2, r["code"] // width % width, r["code"] % width): r["count"] for r in cells}, n_tokens, n_words)
-    middle = middle_counts()
-
+    weights = fit_weights({(r["code"] // width**2, r["code"] // width % width, r["code"] % width): r["count"] for r in cells}, mass, n_words)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p1 = unigram(middle, n_tokens, n_words)
         for chunk in slices(batches, "level", 1 << 19):
-            level, pair, bounds = joined(chunk, "level"), joined(chunk, "pair"), bounds_of(chunk)
-            before = before_levels(level, bounds, end_level)
-            b = np.where(before > 0, weights[before], 0)
-            p = b * np.minimum(1, middle[pair] / np.maximum(1, middle[before])) + (1 - b) * p1[level]
+            level, pair, sums, bounds = joined(chunk, "level"), joined(chunk, "pair"), joined(chunk, "sums"), bounds_of(chunk)
+            p = probability(level, pair, shifted(level, bounds, end_level), shifted(sums, bounds, end_sums), weights, mass, n_words)
             scores = np.add.reduceat(np.log10(p), bounds[:-1])
             yield pa.RecordBatch.from_arrays([*(chunk[c] for c in ("k", "held_out", "n_tokens", "n_known", "base_score")), pa.array(scores)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 

@@ -71,6 +71,50 @@ def test_lm_scoring(spark, odd, none):
     assert lm_scoring.score(none, crc_mod("doc_id", 5) == 1).count() == 0
 
 
+def test_lm_score_by_brute_force(spark):
+    """The masses sum to 1, and scores are those of a plain walk over words with what the filter answers."""
+    low = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x)
+    docs = documents(spark)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts}
+    tokens = {i: [*re.findall("[^\x20\x09-\x0d]+", low(x)), None] for i, x in texts.items()}
+    n = lm_scoring.parts_for(docs, 12 << 20, "text")
+    look = lm_scoring.Lookup(lm_scoring.count_parts(docs.filter(crc_mod("doc_id", 5) != 1), "text", n).collect(), n)
+    middle = lm_scoring.middle_counts()
+    keys, pairs = {}, {}
+    for i, x in texts.items():
+        stream = lm_scoring.Stream([x])
+        keys |= zip(tokens[i], stream.distinct[stream.codes].tolist(), strict=True)
+        pairs |= zip(zip([None, *tokens[i][:-1]], tokens[i], strict=True), stream.pairs().tolist(), strict=True)
+    counts = collections.Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
+    seen = {(u, w) for i, ws in tokens.items() if not held[i] for u, w in zip([None, *ws[:-1]], ws, strict=True)}
+    level = dict(zip(keys, look.levels(np.array(list(keys.values()), np.uint64)).tolist(), strict=True))
+    level = {w: n if counts[w] else 0 for w, n in level.items()}
+    pair = dict(zip(pairs, look.levels(np.array(list(pairs.values()), np.uint64)).tolist(), strict=True))
+    kept = dict(zip(keys, lm_scoring.from_codes(look.exact(np.array(list(keys.values()), np.uint64))[1]).tolist(), strict=True))
+    sums = collections.Counter()
+    for u, w in seen:
+        assert pair[u, w] > 0
+        sums[u] += middle[pair[u, w]]
+    assert set(sums) == {w for w in kept if kept[w]} and all(abs(sums[u] / kept[u] - 1) < 0.001 for u in sums)
+    mass = sum(middle[level[w]] for w in counts)
+    total = mass + 0.5 * (len(counts) + 1)
+    assert abs(sum((middle[level[w]] + 0.5) / total for w in counts) + 0.5 / total - 1) < 1e-9
+    table = collections.Counter()
+    for i, ws in tokens.items():
+        if not held[i]:
+            table.update((pair[u, w], level[u], level[w]) for u, w in zip([None, *ws[:-1]], ws, strict=True))
+    weights = lm_scoring.fit_weights(table, mass, len(counts))
+    assert 0.05 < weights.max() < 1
+    for r in lm_scoring.score(docs, crc_mod("doc_id", 5) == 1).collect():
+        want, ws = 0.0, tokens[r["doc_id"]]
+        for u, w in zip([None, *ws[:-1]], ws, strict=True):
+            b = weights[level[u]] if counts[u] else 0
+            q = middle[pair[u, w]] / kept[u] if counts[u] and counts[w] else 0
+            want += math.log10(b * min(1, q) + (1 - b) * (middle[level[w]] + 0.5) / total)
+        assert abs(r["score"] - want) < 1e-6 * max(1, abs(want))
+
+
 def test_token_counts(spark, odd, none):
     m = token_counts.trie(public_tokenizers.path("piece_bpe_32k.model"))
 
