@@ -5,19 +5,25 @@ from __future__ import annotations
 import tempfile
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of df, kept in the folder of spark.checkpoint.dir (where that is unset and Spark runs on this machine
-    alone, in a temporary one)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir (where that is unset and Spark runs on this machine alone, a temporary one)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("on a cluster, set spark.checkpoint.dir to a folder that all machines share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tesserine-"))
+        folder = f"file://{tempfile.mkdtemp(prefix='tesserine-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows of df, kept in the checkpoint folder."""
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint()
 
 
