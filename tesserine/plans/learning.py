@@ -20,7 +20,16 @@ def ml_nearest_centre(t: Tables) -> DataFrame:
     return t.embeddings.df.select("vec_id", L.nearest(F.col("embedding"), [r["embedding"] for r in rows]).alias("cluster"))
 
 
-@query()
+#: Vectors, and each vector's nearest of a list of centres.
+POINTS = "p AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)"
+SIZES = "SELECT CAST(list_position(ds, list_min(ds)) - 1 AS INTEGER) AS cluster, count(*) AS n FROM (SELECT list_transform(cs, lambda c: list_distance(v, c)) AS ds FROM p, last) GROUP BY 1"
+
+
+@query(f"""WITH RECURSIVE {POINTS}, c AS (SELECT 0 AS step, list(v ORDER BY vec_id) AS cs, CAST(1 AS DOUBLE) AS moved FROM (SELECT * FROM p ORDER BY vec_id LIMIT 16) UNION ALL
+SELECT step + 1, new, list_max(list_transform(list_zip(cs, new), lambda q: list_distance(q[1], q[2]))) FROM (
+SELECT a.step, any_value(a.cs) AS cs, list(coalesce(b.m, a.cs[a.k]) ORDER BY a.k) AS new FROM (SELECT step, cs, unnest(range(1, len(cs) + 1)) AS k FROM c WHERE step < 20 AND moved >= 0.001) a LEFT JOIN (
+SELECT k, list(m ORDER BY d) AS m FROM (SELECT k, d, avg(v[d]) AS m FROM (SELECT v, list_position(ds, list_min(ds)) AS k, unnest(range(1, len(v) + 1)) AS d FROM (SELECT v, list_transform(cs, lambda x: list_distance(v, x)) AS ds FROM c, p WHERE step < 20 AND moved >= 0.001)) GROUP BY 1, 2) GROUP BY 1) b ON a.k = b.k GROUP BY 1)),
+last AS (SELECT cs FROM c ORDER BY step DESC LIMIT 1) {SIZES}""")
 def ml_kmeans(t: Tables) -> DataFrame:
     rows = t.embeddings.order_by(lambda e: e.vec_id).limit(16).to_array()
     centres = L.kmeans(t.embeddings.df, "embedding", [list(map(float, r["embedding"])) for r in rows])
@@ -75,7 +84,11 @@ def ml_svm_classify(t: Tables) -> DataFrame:
     return labelled(t).agg(F.count_if(side == -1).alias("below"), F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""WITH RECURSIVE d AS MATERIALIZED (SELECT l_quantity / 50 AS x, l_extendedprice / 100000 AS z, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y FROM lineitem),
+t AS (SELECT 0 AS step, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS c, CAST(1 AS DOUBLE) AS moved UNION ALL
+SELECT step + 1, a + ga, b + gb, c + gc, abs(ga) + abs(gb) + abs(gc) FROM (SELECT step, a, b, c, avg(w) AS ga, avg(w * x) AS gb, avg(w * z) AS gc FROM (SELECT t.*, x, z, y - 1 / (1 + exp(-(a + b * x + c * z))) AS w FROM t, d WHERE step < 30 AND moved >= 0.001) GROUP BY ALL)),
+l AS (SELECT * FROM t ORDER BY step DESC LIMIT 1)
+SELECT CAST(0 AS INTEGER) AS i, round(a, 6) AS theta FROM l UNION ALL SELECT 1, round(b, 6) FROM l UNION ALL SELECT 2, round(c, 6) FROM l""")
 def ml_logistic_regression(t: Tables) -> DataFrame:
     theta = L.logistic_regression(labelled(t), [F.lit(1.0), F.col("x"), F.col("z")], F.col("y"))
     return t.spark.createDataFrame([(i, round(v, 6)) for i, v in enumerate(theta)], "i int, theta double")
@@ -173,13 +186,18 @@ def ml_matrix_helpers(t: Tables) -> DataFrame:
     return L.with_column_at(L.product(cells, L.transposed(cells)), 1, sums)
 
 
-@query()
+@query(f"""WITH RECURSIVE {POINTS}, c AS (SELECT 1 AS step, [v] AS cs FROM (SELECT v FROM p ORDER BY vec_id LIMIT 1) UNION ALL
+SELECT step + 1, list_append(any_value(cs), first(v ORDER BY d DESC, vec_id)) FROM (SELECT step, cs, v, vec_id, list_min(list_transform(cs, lambda x: list_distance(v, x))) AS d FROM c, p WHERE step < 5) GROUP BY step),
+last AS (SELECT cs FROM c ORDER BY step DESC LIMIT 1) {SIZES}""")
 def ml_k_centers(t: Tables) -> DataFrame:
     centres = L.k_centers(t.embeddings.df, "vec_id", "embedding", 5)
     return t.embeddings.df.groupBy(L.nearest(F.col("embedding"), centres).alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""WITH RECURSIVE v AS (SELECT 0 AS step, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b, CAST(1 AS DOUBLE) AS moved UNION ALL
+SELECT step + 1, x, y, greatest(abs(x - a), abs(y - b)) FROM (SELECT step, a, b, least(0.9 * (0.9 * a + 0.1 * b) + 1, 0.9 * (0.2 * a + 0.8 * b) + 2) AS x, least(0.9 * (0.4 * a + 0.6 * b) + 3, 0.9 * (0.5 * a + 0.5 * b) + 0.5) AS y FROM v WHERE moved >= 1e-9)),
+l AS (SELECT * FROM v ORDER BY step DESC LIMIT 1)
+SELECT CAST(0 AS INTEGER) AS state, round(a, 6) AS value FROM l UNION ALL SELECT 1, round(b, 6) FROM l""")
 def ml_value_iteration(t: Tables) -> DataFrame:
     v = L.value_iteration([[[0.9, 0.1], [0.4, 0.6]], [[0.2, 0.8], [0.5, 0.5]]], [[1.0, 3.0], [2.0, 0.5]], 0.9)
     return t.spark.createDataFrame([(i, round(x, 6)) for i, x in enumerate(v)], "state int, value double")
