@@ -91,6 +91,23 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"), min_revisit_bytes=0))
 
 
+OP9_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
+), d AS (
+  SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+         list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+             1 + CAST((CAST('0x' || substr(hex, CAST(1 + 10 * (i // 8) AS BIGINT), 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31 AS BIGINT), 1)), 'string_agg', '') AS payload_digest
+  FROM p
+), f AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS response FROM d
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id < response THEN response END AS refers_to
+FROM f
+"""
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserine.llm import near_dedup
 
@@ -98,4 +115,4 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_shards, op2_lm_scoring, op3_token_counts, op4_topk_search, op5_decontaminate, op6_quality, op7_language_id, op8_sentencepieces, op9_warc, op10_near_dedup)}
-ORACLES: dict[str, str] = {"op4_topk_search": OP4_SQL}
+ORACLES: dict[str, str] = {"op4_topk_search": OP4_SQL, "op9_warc": OP9_SQL}
