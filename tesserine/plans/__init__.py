@@ -7,4 +7,4 @@ __all__ = ["ORACLES", "QUERIES"]
 
 def load() -> None:
     """Imports all query modules, which register themselves."""
-    from tesserine.plans import collections, files, graphs, learning, relational, tpch  # noqa: F401
+    from tesserine.plans import collections, files, graphs, inference, learning, relational, tpch  # noqa: F401
