@@ -256,7 +256,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, list] = {}
         held = 0
-        for part in slices(batches, "tb", 4 << 20):
+        for part in slices(batches, "tb", 1 << 20):
             if held > KEPT:
                 known.clear()
                 held = 0
@@ -265,7 +265,15 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
             for column, ids in zip(("ta", "tb"), nodes, strict=True):
                 at = {x: i for i, x in enumerate(ids) if x not in known and x not in new}
                 new |= zip(at, part[column].take(pa.array(list(at.values()), pa.int64())).to_pylist(), strict=True)
-            known |= zip(new, readings(list(new.values())), strict=True)
+            # a megabyte of texts is shingled at a time, however long the other side's are
+            some, size = [], 0
+            for x in new:
+                some.append(x)
+                size += len(new[x])
+                if size > 1 << 20:
+                    known |= zip(some, readings([new[y] for y in some]), strict=True)
+                    some, size = [], 0
+            known |= zip(some, readings([new[y] for y in some]), strict=True)
             held += sum(64 + len(s) for x in new for s, _ in known[x])
             keep = [likeness(known[a], known[b]) >= threshold for a, b in zip(*nodes, strict=True)]
             yield pa.RecordBatch.from_arrays([part["a"], part["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
