@@ -15,8 +15,9 @@ with each word as 16 bits of its logarithm (a relative error of at most 0.0004);
 number. So the probabilities of all words that followed u and of the rest sum to 1, but for pairs that never occurred and
 that the filter takes for others.
 
-Scoring. The parts are broadcast in groups of bounded size, and each group resolves the keys that hash to its parts; if
-one group doesn't hold all parts, the levels found so far travel with the texts in a written table from group to group.
+Scoring. Parts of bounded size together are broadcast. Where they are more, the texts are written in compressed slices, the
+distinct keys of a slice are sent to the parts that hold them, and what those find is sent back to the slice: one pass and
+about 6 bytes a token, however large the filter. Shuffle files go as soon as what they led to is written.
 The levels and normalisers of all tokens, four bytes each, are then a table from which weights are fitted and scores
 computed. The probability of word w after u is ``b * q(u,w) / q(u) + (1 - b) * p(w)``, q being the middle of the count's
 level, p(w) = (q(w) + 0.5) / (sum of q + 0.5 * (V + 1)); b depends on u's level and is fitted by expectation maximisation
@@ -37,10 +38,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import LOWER_ASCII, Tokens, dropped, hash_strings, mix, parts_for, ragged, slices, texts_of, words, written
+from tesserine.llm.common import Tokens, dropped, hash_strings, mix, parts_for, ragged, slices, texts_of, written
 
 END = np.uint64(0xD1B54A32D192ED03)
 PROBES, BITS_PER_KEY, BASE = 4, 8, 1.6
@@ -75,7 +77,8 @@ class Stream:
     """The tokens of a slice of texts, each text's end token included: distinct hashes, codes into them, and the bounds."""
 
     def __init__(self, texts: list[str]):
-        t = Tokens([words(x.translate(LOWER_ASCII) if not x.isascii() else x.lower()) for x in texts])
+        # lower() and split() of bytes know ASCII letters and white space alone
+        t = Tokens([x.encode().lower().split() for x in texts])
         self.bounds = t.bounds + np.arange(len(t.bounds))
         self.distinct = np.append(hash_strings(t.words), END) & ~np.uint64(1)
         self.codes = np.full(int(self.bounds[-1]), len(t.words), np.int64)
@@ -132,6 +135,32 @@ def unpack_counts(data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys by their gaps, about six bytes each, or as they are where that is no longer."""
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    packed = gaps.view(np.uint8).reshape(-1, 8)[:, :5].tobytes() + pack_counts((gaps >> np.uint64(40)).astype(np.int64))
+    return packed if len(packed) < 8 * len(keys) else keys.tobytes()
+
+
+def unpack_keys(data: bytes, n: int) -> np.ndarray:
+    if len(data) == 8 * n:
+        return np.frombuffer(data, np.uint64)
+    gaps = np.zeros((n, 8), np.uint8)
+    gaps[:, :5] = np.frombuffer(data, np.uint8, 5 * n).reshape(-1, 5)
+    return np.cumsum(gaps.view(np.uint64)[:, 0] + (unpack_counts(data[5 * n :], n).astype(np.uint64) << np.uint64(40)), dtype=np.uint64)
+
+
+def written_alone(df: DataFrame, tag: str) -> DataFrame:
+    """written(), and the shuffle files behind the rows removed as soon as they are written."""
+    conf, cleanup = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(cleanup, "false")
+    conf.set(cleanup, "true")
+    try:
+        return written(df, tag)
+    finally:
+        conf.set(cleanup, before)
+
+
 def count_parts(docs: DataFrame, text: str, parts: int) -> DataFrame:
     """The filter's parts: part, bits, n_tokens and n_words, and the sorted word hashes with their counts."""
 
@@ -205,9 +234,9 @@ def count_parts(docs: DataFrame, text: str, parts: int) -> DataFrame:
 
     shipped = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(ship, "part int, keys binary, counts binary, before binary")
     schema = "part int, n_bits long, bits binary, n_tokens long, n_words long, word_mass double, words binary, word_counts binary, sums array<struct<to:int,owner:binary,mass:binary>>"
-    built = written(shipped.groupBy("part").applyInArrow(build, schema), "lm")
+    built = written_alone(shipped.groupBy("part").applyInArrow(build, schema), "lm")
     sums = built.select(F.inline("sums")).select(F.col("to").alias("part"), "owner", "mass").groupBy("part").applyInArrow(normalisers, "part int, word_sums binary")
-    parts_ = written(built.drop("sums").join(sums, "part", "left").withColumn("word_sums", F.coalesce("word_sums", F.lit(b""))), "lm")
+    parts_ = written_alone(built.drop("sums").join(sums, "part", "left").withColumn("word_sums", F.coalesce("word_sums", F.lit(b""))), "lm")
     dropped(built)
     return parts_
 
@@ -290,89 +319,136 @@ def shifted(values: np.ndarray, bounds: np.ndarray, first: int) -> np.ndarray:
     return out
 
 
-def groups(parts: DataFrame, n: int, max_bytes: int) -> list[list[int]]:
-    """The parts in groups of at most max_bytes (a single larger part is a group of its own)."""
-    sizes = parts.select("part", (F.octet_length("bits") + F.octet_length("words") + F.octet_length("word_counts") + F.octet_length("word_sums")).alias("size")).orderBy("part").collect()  # a row for each part
-    out: list[list[int]] = [[]]
-    held = 0
-    for r in sizes:
-        if out[-1] and held + r["size"] > max_bytes:
-            out.append([])
-            held = 0
-        out[-1].append(r["part"])
-        held += r["size"]
-    return out
+def filter_bytes(parts: DataFrame) -> int:
+    """What a broadcast of all parts holds."""
+    return parts.agg(F.sum(F.octet_length("bits") + F.octet_length("words") + F.octet_length("word_counts") + F.octet_length("word_sums"))).first()[0] or 0
+
+
+def by_text(values: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    return [values[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
-STATE = "k long, held_out boolean, t string, exact binary, level binary, pair binary, sums binary"
 KINDS = {"exact": "<i8", "level": "u1", "pair": "u1", "sums": "<u2"}
 
 
-def with_levels(docs: DataFrame, parts: DataFrame, n: int, max_bytes: int) -> tuple[DataFrame, object | None]:
-    """Either the texts and one broadcast with all parts, or a written table of texts with what each token's lookups gave."""
-    grouped = groups(parts, n, max_bytes)
-    spark = docs.sparkSession
+def joined(chunk: pa.RecordBatch, column: str) -> np.ndarray:
+    return np.frombuffer(b"".join(chunk[column].to_pylist()), KINDS[column]).astype(np.int64)
 
-    def load(group: list[int]) -> object:
-        return spark.sparkContext.broadcast(Lookup(parts.filter(F.col("part").isin(group)).toLocalIterator() if group else [], n))
 
-    if len(grouped) == 1:
-        return docs, load(grouped[0])
-    state = docs.withColumns({c: F.lit(None).cast("binary") for c in KINDS})
-    for group in grouped:
-        shared = load(group)
+def bounds_of(chunk: pa.RecordBatch) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(chunk["level"]), np.int64))])
 
-        def run(batches: Iterator[pa.RecordBatch], shared: object = shared) -> Iterator[pa.RecordBatch]:
-            look = shared.value
-            for chunk in slices(batches, "t"):
-                stream = Stream(texts_of(chunk, "t"))
-                got = dict(zip(KINDS, resolve(look, stream), strict=True))
-                out = {c: chunk[c] for c in ("k", "held_out", "t")}
-                for c, kind in KINDS.items():
-                    old = [None if x is None else np.frombuffer(x, kind) for x in chunk[c].to_pylist()]
-                    new = by_text(got[c].astype(kind), stream.bounds)
-                    out[c] = pa.array([(y if x is None else np.maximum(x, y)).tobytes() for x, y in zip(old, new, strict=True)], pa.binary())
-                yield pa.RecordBatch.from_pydict(out)
 
-        state = written(state.mapInArrow(run, STATE), "levels")
-        shared.destroy()
-    return state, None
+LOOKED_UP = "k long, held_out boolean, n_tokens long, n_known long, base_score double, level binary, pair binary, sums binary"
 
 
-def by_text(values: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
-    return [values[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+def figures(k: pa.Array, held_out: pa.Array, bounds: np.ndarray, found: tuple[np.ndarray, ...], n_tokens: int, n_words: int, end_level: int) -> pa.RecordBatch:
+    """The texts' exact figures, and the levels and normalisers of their tokens and pairs."""
+    exact, level, pair, sums = found
+    first = bounds[:-1]
+    # a pair of a word that never occurred never occurred
+    pair = np.where((level > 0) & (shifted(level, bounds, end_level) > 0), pair, 0)
+    blobs = [pa.array([x.tobytes() for x in by_text(v.astype(KINDS[c]), bounds)], pa.binary()) for c, v in (("level", level), ("pair", pair), ("sums", sums))]
+    own = [np.diff(bounds), np.add.reduceat((exact > 0).astype(np.int64), first), np.add.reduceat(np.log10(unigram(exact, n_tokens, n_words)), first)]
+    return pa.RecordBatch.from_arrays([k, held_out, *map(pa.array, own), *blobs], ["k", "held_out", "n_tokens", "n_known", "base_score", "level", "pair", "sums"])
 
 
-def joined(chunk: pa.RecordBatch, column: str) -> np.ndarray:
-    return np.frombuffer(b"".join(chunk[column].to_pylist()), KINDS[column]).astype(np.int64)
+def by_broadcast(docs: DataFrame, parts: DataFrame, n: int, n_tokens: int, n_words: int, end_level: int) -> DataFrame:
+    """LOOKED_UP by one broadcast of all parts."""
+    shared = docs.sparkSession.sparkContext.broadcast(Lookup(parts.toLocalIterator(), n))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = shared.value
+        for chunk in slices(batches, "t"):
+            stream = Stream(texts_of(chunk, "t"))
+            yield figures(chunk["k"], chunk["held_out"], stream.bounds, resolve(look, stream), n_tokens, n_words, end_level)
 
-def bounds_of(chunk: pa.RecordBatch) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(chunk["level"]), np.int64))])
+    table = written_alone(docs.mapInArrow(run, LOOKED_UP), "looked-up")
+    shared.destroy()
+    return table
 
 
-LOOKED_UP = "k long, held_out boolean, n_tokens long, n_known long, base_score double, level binary, pair binary, sums binary"
+def unpacked(blob: bytes, sizes: bytes) -> list[str]:
+    """The texts of a row of sliced()."""
+    ends = np.cumsum(np.frombuffer(sizes, "<i8"))
+    data = pa.decompress(blob, int(ends[-1]), "zstd", asbytes=True)
+    return [data[a:b].decode() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
-def look_up(state: DataFrame, shared: object | None, n_tokens: int, n_words: int, end_level: int) -> DataFrame:
-    """Every text's exact figures, and the levels and normalisers of its tokens and pairs, four bytes a token."""
+def sliced(docs: DataFrame) -> DataFrame:
+    """The texts in rows of a slice each, compressed, so that a slice is the same whenever it is read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = None if shared is None else shared.value
-        for chunk in slices(batches, "t"):
-            if look is None:
-                bounds, (exact, level, pair, sums) = bounds_of(chunk), [joined(chunk, c) for c in KINDS]
-            else:
-                stream = Stream(texts_of(chunk, "t"))
-                bounds, (exact, level, pair, sums) = stream.bounds, resolve(look, stream)
-            first = bounds[:-1]
-            # a pair of a word that never occurred never occurred
-            pair = np.where((level > 0) & (shifted(level, bounds, end_level) > 0), pair, 0)
-            blobs = [pa.array([x.tobytes() for x in by_text(v.astype(KINDS[c]), bounds)], pa.binary()) for c, v in (("level", level), ("pair", pair), ("sums", sums))]
-            figures = [np.diff(bounds), np.add.reduceat((exact > 0).astype(np.int64), first), np.add.reduceat(np.log10(unigram(exact, n_tokens, n_words)), first)]
-            yield pa.RecordBatch.from_arrays([chunk["k"], chunk["held_out"], *map(pa.array, figures), *blobs], ["k", "held_out", "n_tokens", "n_known", "base_score", "level", "pair", "sums"])
+        first = TaskContext.get().partitionId() << 32
+        for i, chunk in enumerate(slices(batches, "t", 6 << 20)):
+            texts = [x.encode() for x in texts_of(chunk, "t")]
+            sizes = np.array([len(x) for x in texts], "<i8").tobytes()
+            ks, held = (pa.array([chunk[c].to_pylist()], pa.list_(chunk[c].type)) for c in ("k", "held_out"))
+            yield pa.RecordBatch.from_arrays([pa.array([first + i], pa.int64()), ks, held, pa.array([sizes], pa.binary()), pa.array([pa.compress(b"".join(texts), "zstd", asbytes=True)], pa.binary())], ["slice", "k", "held_out", "sizes", "texts"])
+
+    return written_alone(docs.mapInArrow(run, "slice long, k array<long>, held_out array<boolean>, sizes binary, texts binary"), "slices")
+
 
-    return written(state.mapInArrow(run, LOOKED_UP), "looked-up")
+def by_shuffle(docs: DataFrame, parts: DataFrame, n: int, n_tokens: int, n_words: int, end_level: int, parts_per_shard: int = 4) -> DataFrame:
+    """LOOKED_UP by sending each slice's distinct keys to the parts that hold them, and what they found back to the slice."""
+    shards = -(-n // parts_per_shard)
+    texts = sliced(docs)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, sizes, blob in zip(*(batch[c] for c in ("slice", "sizes", "texts")), strict=True):
+                stream = Stream(unpacked(blob.as_py(), sizes.as_py()))
+                # parts are ranges of the hashes, so sorted keys are in the order of the shards
+                asked = [np.unique(stream.distinct), np.unique(stream.pairs())]
+                ends = [np.searchsorted(part_of(x, n) // parts_per_shard, np.arange(shards + 1)) for x in asked]
+                own = [s for s in range(shards) if any(e[s] < e[s + 1] for e in ends)]
+                word, pair = ([x[e[s] : e[s + 1]] for s in own] for x, e in zip(asked, ends, strict=True))
+                counts = [pa.array([len(x) for x in k], pa.int32()) for k in (word, pair)]
+                packed = [pa.array([pack_keys(x) for x in k], pa.binary()) for k in (word, pair)]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([at.as_py()] * len(own), pa.int64()), *counts, *packed], ["shard", "slice", "n_asked", "n_pairs", "asked_words", "asked_pairs"])
+
+    def answer(shard: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, asked = [], []
+        for batch in batches:
+            is_part = pc.is_valid(batch["part"])
+            rows += batch.filter(is_part).to_pylist()
+            asked.append(batch.filter(pc.invert(is_part)).select(["slice", "n_asked", "n_pairs", "asked_words", "asked_pairs"]))
+        look = Lookup(rows, n)
+        del rows
+        for some in asked:
+            for chunk in slices([some], "asked_pairs", 4 << 20):
+                n_asked, n_pairs = chunk["n_asked"].to_pylist(), chunk["n_pairs"].to_pylist()
+                word, pair = (np.concatenate([unpack_keys(x, m) for x, m in zip(chunk[c].to_pylist(), many, strict=True)]) for c, many in (("asked_words", n_asked), ("asked_pairs", n_pairs)))
+                exact, sums = look.exact(word)
+                found = {"exact": exact, "level": np.where(exact > 0, look.levels(word), 0), "pair": look.levels(pair), "sums": sums}
+                cut = [by_text(found[c].astype(kind), np.cumsum([0, *(n_pairs if c == "pair" else n_asked)])) for c, kind in KINDS.items()]
+                blobs = [pa.compress(b"".join(x.tobytes() for x in row), "zstd", asbytes=True) for row in zip(*cut, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([shard[0].as_py()] * len(chunk), pa.int32()), chunk["slice"], chunk["n_asked"], chunk["n_pairs"], pa.array(blobs, pa.binary())], ["shard", "slice", "n_asked", "n_pairs", "found"])
+
+    def settle(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in batch.to_pylist()]
+        own = next(r for r in rows if r["texts"] is not None)
+        rows = sorted((r for r in rows if r["texts"] is None), key=lambda r: r["shard"])
+        got: dict[str, list[np.ndarray]] = {c: [] for c in KINDS}
+        for r in rows:
+            counts = {c: r["n_pairs" if c == "pair" else "n_asked"] for c in KINDS}
+            data, at = pa.decompress(r["found"], sum(np.dtype(KINDS[c]).itemsize * m for c, m in counts.items()), "zstd", asbytes=True), 0
+            for c, m in counts.items():
+                got[c].append(np.frombuffer(data, KINDS[c], m, at))
+                at += got[c][-1].nbytes
+        exact, level, pair, sums = (np.concatenate(got[c]).astype(np.int64) for c in KINDS)
+        stream = Stream(unpacked(own["texts"], own["sizes"]))
+        word_at = np.unique(stream.distinct, return_inverse=True)[1][stream.codes]
+        pair_at = np.unique(stream.pairs(), return_inverse=True)[1]
+        yield figures(pa.array(own["k"], pa.int64()), pa.array(own["held_out"], pa.bool_()), stream.bounds, (exact[word_at], level[word_at], pair[pair_at], sums[word_at]), n_tokens, n_words, end_level)
+
+    asked = texts.select("slice", "sizes", "texts").mapInArrow(ask, "shard int, slice long, n_asked int, n_pairs int, asked_words binary, asked_pairs binary")
+    held = parts.select(F.floor(F.col("part") / parts_per_shard).cast("int").alias("shard"), "part", "n_bits", "bits", "words", "word_counts", "word_sums")
+    found = written_alone(asked.unionByName(held, allowMissingColumns=True).groupBy("shard").applyInArrow(answer, "shard int, slice long, n_asked int, n_pairs int, found binary"), "found")
+    table = written_alone(texts.unionByName(found, allowMissingColumns=True).groupBy("slice").applyInArrow(settle, LOOKED_UP), "looked-up")
+    dropped(texts)
+    dropped(found)
+    return table
 
 
 def unigram(counts: np.ndarray, n_tokens: float, n_words: int) -> np.ndarray:
@@ -418,8 +494,9 @@ def score(docs: DataFrame, held_out: F.Column, key: str = "doc_id", text: str =
     end = np.array([END & ~np.uint64(1)])
     by_end = Lookup(parts.filter(F.col("part") == int(part_of(end, n)[0])).collect(), n)
     end_level, end_sums = int(by_end.levels(end)[0]), int(by_end.exact(end)[1][0])
-    state, shared = with_levels(rows, parts, n, max_broadcast_bytes)
-    table = look_up(state, shared, n_tokens, n_words, end_level)
+    look_up = by_broadcast if filter_bytes(parts) <= max_broadcast_bytes else by_shuffle
+    table = look_up(rows, parts, n, n_tokens, n_words, end_level)
+    dropped(parts)
     width = LEVELS + 1
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,8 +4,10 @@ import collections
 import hashlib
 import io
 import math
+import pathlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -115,6 +117,49 @@ def test_lm_score_by_brute_force(spark):
         assert abs(r["score"] - want) < 1e-6 * max(1, abs(want))
 
 
+def test_lm_scoring_beyond_one_broadcast(spark, odd, none):
+    """Parts that aren't broadcast give the same figures, on tables, empty ones and where nothing is learned."""
+    for docs, held in ((documents(spark), crc_mod("doc_id", 5) == 1), (odd, crc_mod("doc_id", 5) == 1), (odd, F.lit(True)), (none, crc_mod("doc_id", 5) == 1)):
+        want, got = (sorted(lm_scoring.score(docs, held, max_broadcast_bytes=b, bytes_per_part=20_000).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"])) for b in (1 << 30, -1))
+        assert len(want) == docs.count() == len(got)
+        for a, b in zip(want, got, strict=True):
+            assert a[:5] == b[:5] and b[5:] == pytest.approx(a[5:], rel=1e-9)
+
+
+def test_lm_scoring_disk(spark, tmp_path, monkeypatch):
+    """Beyond one broadcast, what lies on disk at once is a few times the texts, whatever the number of parts."""
+    docs = documents(spark)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    folders = [pathlib.Path(d.getPath()) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    monkeypatch.setattr("tesserine.llm.common.shared_dir", lambda _: f"file://{tmp_path}")
+    old = {f for d in folders for f in d.rglob("shuffle_*.data")}
+    tables, write = [], lm_scoring.written
+
+    def measured(df, tag):
+        out = write(df, tag)
+        tables.append(sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")))
+        return out
+
+    monkeypatch.setattr(lm_scoring, "written", measured)
+    assert lm_scoring.score(docs, crc_mod("doc_id", 5) == 1, max_broadcast_bytes=100_000, bytes_per_part=50_000).count() == docs.count()
+    assert max(tables) < 2.5 * size
+    for _ in range(50):
+        left = sum(f.stat().st_size for d in folders for f in d.rglob("shuffle_*.data") if f not in old)
+        if left < 0.2 * size:
+            break
+        time.sleep(0.2)
+    assert left < 0.2 * size
+
+
+def test_packed_keys():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 5, 1000, 700_000):
+        keys = np.unique(rng.integers(0, 2**64, n, np.uint64, endpoint=False))
+        data = lm_scoring.pack_keys(keys)
+        assert lm_scoring.unpack_keys(data, len(keys)).tolist() == keys.tolist() and len(data) <= 8 * len(keys)
+    assert len(data) < 6.2 * len(keys)
+
+
 def test_token_counts(spark, odd, none):
     m = token_counts.trie(public_tokenizers.path("piece_bpe_32k.model"))
 
