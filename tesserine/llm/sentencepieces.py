@@ -7,7 +7,8 @@ follows up to the next mark; line breaks alone) and each distinct unit is encode
 when a model is loaded; a model that breaks them has whole texts as units.
 
 The agenda of a short unit is the row of its adjacent pairs' ranks, whose least is taken each time; longer units keep
-a heap. Characters outside the vocabulary become byte pieces.
+a heap. Characters outside the vocabulary become byte pieces. Of many new short units, those of one length are rows of
+a matrix, and a round takes the least of every row; units with characters outside the vocabulary go one by one.
 
 Every unit that the agenda encodes is compared, batch by batch, with what the sentencepiece library makes of it;
 a difference raises an error.
@@ -34,6 +35,8 @@ MARK = "▁"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _MODELS: dict[str, "PieceModel"] = {}
 NONE = 1 << 30
+#: Units of one length that are merged as rows of a matrix: at least, and at most at a time.
+ROWS = (16, 20_000)
 
 
 class PieceModel:
@@ -54,10 +57,76 @@ class PieceModel:
         scores = sorted({lib.get_score(i) for i in self.ids.values()}, reverse=True)
         order = {s: r for r, s in enumerate(scores)}
         self.rank = {p: order[lib.get_score(i)] for p, i in self.ids.items() if len(p) > 1}
+        self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.control else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
+        self.decimals = [str(i) for i in range(len(self.pieces))]
+        self._tabulate()
         self.cuts = not any(MARK in p.lstrip(MARK) or (("\n" in p) and len(p) > 1) for p in self.ids)
         self.units = re.compile(f"{MARK}*[^{MARK}\n]+|\n|{MARK}+") if self.cuts else re.compile("(?s).+")
         self.end = lib.eos_id()
 
+    def _tabulate(self) -> None:
+        """Arrays for merging in rows: ids of characters; of each pair of ids that make a piece, its rank and id."""
+        self.char_ids = np.full(0x110000, -1, np.int32)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.char_ids[ord(p)] = i
+        pairs = {a * len(self.pieces) + b: p for p in self.rank for k in range(1, len(p)) if (a := self.ids.get(p[:k])) is not None and (b := self.ids.get(p[k:])) is not None}
+        self.pair_keys = np.array([*sorted(pairs), 1 << 62], np.int64)
+        made = [pairs[k] for k in self.pair_keys[:-1].tolist()]
+        self.pair_ranks = np.array([*map(self.rank.__getitem__, made), NONE], np.int32)
+        self.pair_ids = np.array([*map(self.ids.__getitem__, made), -1], np.int32)
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Where the pairs of ids are in the table, its last place for those that make no piece."""
+        key = left.astype(np.int64) * len(self.pieces) + right
+        at = np.searchsorted(self.pair_keys, key)
+        at[self.pair_keys[at] != key] = -1
+        return at
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return self.pair_ranks[self._pairs(left, right)]
+
+    def _merge_rows(self, s: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Merges the rows of a matrix of ids; gives indexes of rows and what these become, as they are ready."""
+        rows, agenda = np.arange(len(s)), self._ranks(s[:, :-1], s[:, 1:])
+        while len(rows) and s.shape[1] > 1:
+            at = agenda.argmin(axis=1)
+            best = agenda[np.arange(len(rows)), at]
+            ready = best == NONE
+            if ready.any():
+                yield rows[ready], s[ready]
+                s, agenda, at, best, rows = (x[~ready] for x in (s, agenda, at, best, rows))
+            (n, width), each = s.shape, np.arange(len(rows))
+            s[each, at] = self.pair_ids[self._pairs(s[each, at], s[each, at + 1])]
+            stays = np.ones((n, width), bool)
+            stays[each, at + 1] = False
+            s = s[stays].reshape(n, width - 1)
+            stays = np.ones((n, width - 1), bool)
+            stays[each, at] = False
+            agenda = agenda[stays].reshape(n, width - 2)
+            i = np.flatnonzero(at > 0)
+            agenda[i, at[i] - 1] = self._ranks(s[i, at[i] - 1], s[i, at[i]])
+            i = np.flatnonzero(at < width - 2)
+            agenda[i, at[i]] = self._ranks(s[i, at[i]], s[i, at[i] + 1])
+        yield rows, s
+
+    def ids_of_units(self, units: list[str]) -> list[list[int]]:
+        """The ids of each unit."""
+        out: list[list[int] | None] = [None] * len(units)
+        if units:
+            symbols = self.char_ids[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)]
+            lengths = np.fromiter(map(len, units), np.int64, len(units))
+            starts = np.cumsum(lengths) - lengths
+            lengths[np.minimum.reduceat(symbols, starts) < 0] = 0
+            for length in range(1, self.short + 1):
+                same = np.flatnonzero(lengths == length)
+                for first in range(0, len(same) if len(same) >= ROWS[0] else 0, ROWS[1]):
+                    some = same[first : first + ROWS[1]]
+                    for rows, ids in self._merge_rows(symbols[starts[some][:, None] + np.arange(length)]):
+                        for i, x in zip(some[rows].tolist(), ids.tolist(), strict=True):
+                            out[i] = x
+        return [self.unit_ids(u) if x is None else x for u, x in zip(units, out, strict=True)]
+
     def merge(self, unit: str) -> list[str]:
         """The pieces of a unit, by the agenda of its adjacent pairs."""
         return self._merge_row(list(unit)) if len(unit) <= self.short else self._merge_heap(list(unit))
@@ -108,7 +177,7 @@ class PieceModel:
 
     def _checked(self, units: list[str]) -> list[list[int]]:
         """Ids of units by the agenda, compared with the library's: each as a text, after a line break where it has no mark."""
-        found = [self.unit_ids(u) for u in units]
+        found = self.ids_of_units(units)
         if self.cuts:
             lead = self.library.encode("\n")
             texts = [u[1:].replace(MARK, " ") if u[0] == MARK else "\n" + u for u in units]
@@ -124,7 +193,7 @@ class PieceModel:
             self.known, self.plain = {}, {}
         new = list(set().union(*lists) - self.known.keys())
         for unit, ids in zip(new, self._checked(new), strict=True):
-            self.known[unit] = " ".join(map(str, ids))
+            self.known[unit] = " ".join(map(self.decimals.__getitem__, ids))
             self.plain[unit] = self._raw(ids).decode("utf-8", "replace")
         at, text_at, out = self.known.__getitem__, self.plain.__getitem__, []
         for units in lists:
@@ -136,7 +205,7 @@ class PieceModel:
         return [int(i) for i in self.encode([text])[0][1].split(" ")]
 
     def _raw(self, ids: list[int]) -> bytes:
-        return b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.control else self.pieces[i].replace(MARK, " ").encode() for i in ids)
+        return b"".join(map(self.raw.__getitem__, ids))
 
     @staticmethod
     def _text(raw: bytes) -> str:
