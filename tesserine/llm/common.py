@@ -120,11 +120,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x.astype(np.uint64, copy=True)
     x += np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(30)
+    high = np.right_shift(x, np.uint64(30), out=np.empty_like(x))
+    x ^= high
     x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
+    x ^= np.right_shift(x, np.uint64(27), out=high)
     x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
+    x ^= np.right_shift(x, np.uint64(31), out=high)
     return x
 
 

@@ -39,6 +39,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -71,14 +72,20 @@ def shingled(hashes: np.ndarray, bounds: np.ndarray, n: int = SHINGLE) -> tuple[
     lengths = np.diff(bounds)
     each = np.where(lengths > 0, np.maximum(1, lengths - n + 1), 0)
     first = ragged(bounds[:-1], each)
-    last = np.repeat(bounds[1:], each)
+    # texts of fewer words are one shingle, whose missing words count as their places
+    ends = np.cumsum(each)
+    short = np.flatnonzero((lengths > 0) & (lengths < n))
+    padded = np.concatenate([hashes, np.zeros(n, np.uint64)])
     s = np.zeros(len(first), np.uint64)
     for j in range(n):
-        there = first + j < last
-        s = mix(s + np.where(there, hashes[np.minimum(first + j, max(0, len(hashes) - 1))], np.uint64(j)) if len(hashes) else s)
+        word = padded[first + j]
+        if j:
+            word[ends[short[lengths[short] <= j]] - 1] = j
+        word += s
+        s = mix(word)
     owner = np.repeat(np.arange(len(lengths)), each)
-    order = np.lexsort((s, owner))
-    s, owner = s[order], owner[order]
+    for x, y in zip((ends - each).tolist(), ends.tolist(), strict=True):
+        s[x:y].sort()
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1]) | (owner[1:] != owner[:-1])
     starts = np.flatnonzero(new)
@@ -89,13 +96,21 @@ def readings_of(texts: list[str]) -> tuple[tuple[np.ndarray, np.ndarray, np.ndar
     """The shingles of all texts for words as written and for bare words."""
     t = Tokens([words(x.lower()) for x in texts])
     written_ = hash_strings(t.words)
-    bare = [[w] if w.isalnum() else BARE.findall(w) for w in t.words]
-    pieces = Tokens(bare)
-    piece_hashes = hash_strings(pieces.words)[pieces.codes] if len(pieces.codes) else np.zeros(0, np.uint64)
-    many = np.diff(pieces.bounds)[t.codes] if len(t.codes) else np.zeros(0, np.int64)
-    own = piece_hashes[ragged(pieces.bounds[:-1][t.codes], many)] if len(t.codes) else np.zeros(0, np.uint64)
+    # a word of letters and digits alone is its own bare word, with the same hash
+    marked = [i for i, w in enumerate(t.words) if not w.isalnum()]
+    bare = [BARE.findall(t.words[i]) for i in marked]
+    counts = np.ones(len(t.words), np.int64)
+    counts[marked] = np.fromiter(map(len, bare), np.int64, len(bare))
+    starts = np.cumsum(counts) - counts
+    plain = np.ones(len(t.words), bool)
+    plain[marked] = False
+    piece_hashes = np.zeros(int(counts.sum()), np.uint64)
+    piece_hashes[starts[plain]] = written_[plain]
+    piece_hashes[ragged(starts[marked], counts[marked])] = hash_strings(chain.from_iterable(bare))
+    many = counts[t.codes]
+    own = piece_hashes[ragged(starts[t.codes], many)]
     ends = np.concatenate([[0], np.cumsum(many)])
-    return shingled(written_[t.codes] if len(t.codes) else np.zeros(0, np.uint64), t.bounds), shingled(own, ends[t.bounds])
+    return shingled(written_[t.codes], t.bounds), shingled(own, ends[t.bounds])
 
 
 def measured(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -139,7 +154,7 @@ def signatures(hashes: np.ndarray, weights: np.ndarray, sizes: np.ndarray, m: in
     """ProbMinHash signatures (texts x m): all texts' processes run in rounds, one arrival of each open process a round."""
     texts = len(sizes)
     owner = np.repeat(np.arange(texts), sizes)
-    least, sig = np.full(texts * m, np.inf), np.zeros(texts * m, np.uint64)
+    least, sig, limit = np.full(texts * m, np.inf), np.zeros(texts * m, np.uint64), np.full(texts, np.inf)
     state, at, h, w, o = mix(hashes), np.zeros(len(hashes)), hashes, weights.astype(np.float64), owner
     while len(h):
         state = mix(state + STEP)
@@ -150,7 +165,8 @@ def signatures(hashes: np.ndarray, weights: np.ndarray, sizes: np.ndarray, m: in
         np.minimum.at(least, p, a)
         won = a == least[p]
         sig[p[won]] = g[won]
-        limit = least.reshape(texts, m).max(axis=1)
+        still = np.unique(o) if len(o) < texts else slice(None)
+        limit[still] = least.reshape(texts, m)[still].max(axis=1)
         going = at < limit[o]
         state, at, h, w, o = state[going], at[going], h[going], w[going], o[going]
     return sig.reshape(texts, m)

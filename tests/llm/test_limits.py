@@ -4,7 +4,7 @@ import random
 
 import public_tokenizers
 
-from tesserine.llm import sentencepieces
+from tesserine.llm import near_dedup, sentencepieces
 
 
 def test_units_in_rows(monkeypatch):
@@ -17,3 +17,15 @@ def test_units_in_rows(monkeypatch):
     monkeypatch.setattr(m, "unit_ids", lambda u, f=m.unit_ids: alone.append(u) or f(u))
     assert m._checked(units) == want
     assert all(len(u) > m.short or len(u) < 3 for u in alone)
+
+
+def test_plain_words_are_hashed_once(monkeypatch):
+    """Bare words that stand as such in a text take its words' hashes; marks, short and empty texts change nothing."""
+    hashed = []
+    monkeypatch.setattr(near_dedup, "hash_strings", lambda words, f=near_dedup.hash_strings: f([hashed.append(w) or w for w in words]))
+    texts = ["one two three four five six", "One, (two) three-four; five six!", "", "!! ?", "x", "a-b c"]
+    plain = ["one two three four five six", "one two three four five six", "", "", "x", "a b c"]
+    bare = [r[1] for r in near_dedup.readings(texts)]
+    assert hashed.count("x") == 1
+    for (s, c), ((want, many), _) in zip(bare, near_dedup.readings(plain), strict=True):
+        assert s.tolist() == want.tolist() and c.tolist() == many.tolist()
