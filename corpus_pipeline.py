@@ -14,17 +14,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tesserine.llm import decontaminate, language_id, near_dedup, quality, sentencepieces
-from tesserine.llm.common import crc_mod, written
+from tesserine.llm.common import bounded_batches, crc_mod, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or like no learned language, go."""
+    bounded_batches(spark)
     profiles = language_id.learn(docs, crc_mod("doc_id", 4) != 2)
     return language_id.accepted(docs, profiles)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is below 0.7 go."""
+    bounded_batches(spark)
     machine = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), crc_mod("doc_id", 4) != 2)
     return quality.accepted(docs, machine)
 
@@ -36,6 +38,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, up to a fifth of its words edited, go."""
+    bounded_batches(spark)
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

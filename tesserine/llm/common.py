@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -17,6 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bytes of an Arrow batch; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+#: Where the C library has it.
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Words are runs of characters other than ASCII white space.
 WORD = re.compile("[^\x20\x09-\x0d]+")
 #: What str.split() takes for white space besides those six.
@@ -65,6 +70,22 @@ def dropped(df: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches to about BATCH_BYTES in this session: with the 64 MB that they are else, rows of texts take that
+    several times over in both a task's JVM and its Python worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if (spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, "64m"))) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def released() -> None:
+    """Returns the memory that this worker has freed to the system: workers outlive their tasks, and what they hold on to
+    is missing in the next stage."""
+    pa.default_memory_pool().release_unused()
+    if TRIM is not None:
+        TRIM(0)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name like the given one that no column of df has, in any spelling."""
     taken = {c.lower() for c in df.columns}
@@ -178,6 +199,7 @@ def annotate(df: DataFrame, make: Callable[[], Callable[[list[str | None]], list
         f = make()
         for part in slices(batches, given, 2 << 20):
             yield pa.RecordBatch.from_arrays([*(part[c] for c in names), *f(part[given].to_pylist())], [*names, *extra])
+        released()
 
     rest = [] if given in names else [F.col(f"`{text}`").alias(given)]
     return df.select(*(F.col(f"`{c}`") for c in names), *rest).mapInArrow(run, schema)

@@ -47,7 +47,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import Tokens, dropped, hash_strings, mix, ragged, slices, texts_of, unused, words, written
+from tesserine.llm.common import Tokens, bounded_batches, dropped, hash_strings, mix, ragged, released, slices, texts_of, unused, words, written
 
 SHINGLE = 5
 BARE = regex.compile(r"[\p{L}\p{N}]+")
@@ -250,6 +250,7 @@ def banded(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
             pairs = pairs[:, new]
             ends = np.searchsorted(pairs[0], np.arange(part.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([part["k"], part["node"], pa.ListArray.from_arrays(ends, pa.array(pairs[1], pa.int64()))], ["k", "node", "bands"])
+        released()
 
     return rows.mapInArrow(run, "k long, node binary, bands array<long>")
 
@@ -293,6 +294,8 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
             held += sum(64 + len(s) for x in new for s, _ in known[x])
             keep = [likeness(known[a], known[b]) >= threshold for a, b in zip(*nodes, strict=True)]
             yield pa.RecordBatch.from_arrays([part["a"], part["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        known.clear()
+        released()
 
     return both.mapInArrow(run, "a binary, b binary").distinct()
 
@@ -359,6 +362,7 @@ def rest_pairs(open_: DataFrame, threshold: float) -> DataFrame:
             at = pa.array(owner)
             columns = [part["node"].take(at), part["root"].take(at), pa.array(s.view(np.int64)), pa.array(share), pa.array(sets, pa.int64()), *(pa.array(np.ascontiguousarray(x)) for x in parities.T)]
             yield pa.RecordBatch.from_arrays(columns, ["node", "root", "s", "share", "sets", *PARITIES])
+        released()
 
     rare = written(open_.mapInArrow(run, f"node binary, root binary, s long, share double, sets long, {', '.join(f'{p} long' for p in PARITIES)}"), "rare")
     groups = rare.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("share").alias("least"), F.min("root").alias("lo"), F.max("root").alias("hi"))
@@ -376,6 +380,7 @@ def rest_pairs(open_: DataFrame, threshold: float) -> DataFrame:
 
 def class_tables(docs: DataFrame, threshold: float, bands: int, per_band: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """k and node of every row; and of every node its class_id, class_size and whether it is the class's first."""
+    bounded_batches(docs.sparkSession)
     rows = text_rows(docs, key, text)
     found = written(banded(rows, bands, per_band), "bands")
     nodes = written(found.groupBy("node").agg(F.min("k").alias("first"), F.min("bands").alias("bands")), "nodes")

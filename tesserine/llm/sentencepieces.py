@@ -29,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import slices, texts_of
+from tesserine.llm.common import bounded_batches, released, slices, texts_of
 
 MARK = "▁"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _MODELS: dict[str, "PieceModel"] = {}
 NONE = 1 << 30
+#: Units that a worker keeps from task to task.
+FEW = 50_000
 #: Units of one length that are merged as rows of a matrix: at least, and at most at a time.
 ROWS = (16, 20_000)
 
@@ -201,6 +203,11 @@ class PieceModel:
             out.append((ids.count(" ") + 1, ids, "".join(map(text_at, units))[1:]))
         return out
 
+    def forget(self) -> None:
+        """Lets go of what is known of units, where that is much: the next task's units are mostly others."""
+        if len(self.known) > FEW:
+            self.known, self.plain = {}, {}
+
     def ids_of(self, text: str) -> list[int]:
         return [int(i) for i in self.encode([text])[0][1].split(" ")]
 
@@ -235,5 +242,8 @@ def encode_documents(docs: DataFrame, model_path: str, key: str = "doc_id", text
                 [part["k"], pa.array(np.fromiter((r[0] for r in rows), np.int64, len(rows))), pa.array([sha(r[1]) for r in rows], pa.string()), pa.array([sha(r[2]) for r in rows], pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        m.forget()
+        released()
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(run, SCHEMA)

@@ -3,10 +3,30 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 
 from tesserine.llm import near_dedup, sentencepieces
 
 
+def test_workers_keep_little(spark):
+    """Batches of texts are small, and a worker lets go of a task's units."""
+    from tesserine.llm import common
+
+    random.seed(7)
+    docs = spark.createDataFrame([(i, " ".join("".join(random.choices("aeinrst", k=9)) for _ in range(2000))) for i in range(1000)], "doc_id long, text string").coalesce(1)
+
+    def probe(batches):
+        m = sentencepieces.model(public_tokenizers.path("piece_bpe_32k.model"))
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes], "known": [len(m.known)]})
+
+    digests = sentencepieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    assert digests.agg({"n_tokens": "sum"}).first()[0] > 0
+    seen = docs.mapInArrow(probe, "n long, known long").collect()
+    assert max(r["n"] for r in seen) < 2 * common.BATCH_BYTES
+    assert max(r["known"] for r in seen) <= sentencepieces.FEW
+
+
 def test_units_in_rows(monkeypatch):
     """Units of the vocabulary's characters are merged many at a time, with the same ids as one by one."""
     m = sentencepieces.PieceModel(public_tokenizers.path("piece_bpe_32k.model"))
