@@ -84,17 +84,21 @@ class WordEncoder:
         """Encodes words that aren't known yet."""
         if len(self.parts) > self.keep:
             self.parts = {}
-        match, part, known, whole = PLAIN.fullmatch, self._part, self.known, []
+        match, part, have, known, whole = PLAIN.fullmatch, self._part, self.parts.get, self.known, []
         for word in new:
+            if self.by_parts and word.isascii() and word.isalpha():
+                letters = word.lower()  # no marks: these letters alone
+                known[word] = have(letters) or part(letters)
+                continue
             found = match(word.lower()) if self.by_parts else None
             if found is None:
                 whole.append(word)
                 continue
             before, letters, after = found.groups()
-            ids = part(letters)
+            ids = have(letters) or part(letters)
             if before:
-                ids = part(before) + ids
-            known[word] = ids + part(after) if after else ids
+                ids = (have(before) or part(before)) + ids
+            known[word] = ids + (have(after) or part(after)) if after else ids
         for word, got in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
             known[word] = array(self.kind, got.ids).tobytes()
 

@@ -5,7 +5,7 @@ import random
 import public_tokenizers
 import pyarrow as pa
 
-from tesserine.llm import near_dedup, sentencepieces
+from tesserine.llm import near_dedup, sentencepieces, token_shards
 
 
 def test_workers_keep_little(spark):
@@ -49,3 +49,21 @@ def test_plain_words_are_hashed_once(monkeypatch):
     assert hashed.count("x") == 1
     for (s, c), ((want, many), _) in zip(bare, near_dedup.readings(plain), strict=True):
         assert s.tolist() == want.tolist() and c.tolist() == many.tolist()
+
+
+def test_plain_words_need_no_pattern(monkeypatch):
+    """Words of ASCII letters alone are put together without the pattern, with the library's ids."""
+    e = token_shards.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    tried = []
+
+    class Pattern:
+        def fullmatch(self, word, f=token_shards.PLAIN.fullmatch):
+            tried.append(word)
+            return f(word)
+
+    monkeypatch.setattr(token_shards, "PLAIN", Pattern())
+    for text in ("Some WORDS, and more; one. (two) Größe! it's 3rd x_ __ . a.b don't, end", ",", "A", ""):
+        want = e.tokenizer.encode(text, add_special_tokens=False).ids
+        assert [int.from_bytes(x, "little") for x in zip(*[iter(e.encode([text])[0])] * e.dtype.itemsize)] == want
+    assert not {"some", "and", "end", "a"} & set(tried)
+    assert {"words,", "(two)", "größe!"} <= set(tried)
