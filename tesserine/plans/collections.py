@@ -15,7 +15,8 @@ INTS = "list_transform(embedding[1:len(embedding)//2], lambda x: CAST(floor(x *
 
 def ints(t: Tables) -> Table:
     def whole(x):
-        return F.floor(x * 40).cast("int")
+        # SQL multiplies as float; with a whole number Spark would multiply as double, and next to whole numbers floors differ
+        return F.floor(x * F.lit(40).cast("float")).cast("int")
 
     def halves(e):
         half = F.floor(F.size(e.embedding) / 2).cast("int")

@@ -231,3 +231,22 @@ def test_vector_and_token_matrix(spark, tmp_path):
     labels, counts = readers.token_matrix(spark, str(tmp_path / "m"))
     assert [r["label"] for r in labels.orderBy("doc").collect()] == [1, 0, 0]
     assert [(r["token"], r["n"]) for r in counts.orderBy("doc", "token").collect()] == [(0, 3), (2, 1), (3, 5)]
+
+
+def test_arrays_multiply_as_sql(spark, tmp_path):
+    """Components just below a fortieth: their product is a whole number as float and below it as double."""
+    import duckdb
+    import numpy as np
+    from tesserine import plans
+
+    plans.load()
+    x = (np.random.default_rng(1).normal(size=20_000_000) * 0.125).astype(np.float32)
+    odd = x[np.floor(x * np.float32(40)) != np.floor(x.astype(float) * 40)][:2].tolist()
+    assert len(odd) == 2
+    rows = [(0, [0.25, 0.5, *odd]), (1, [*odd, 0.25, 0.5])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("arr_record_arithmetic", "arr_union", "arr_zip", "arr_zip_reduce", "arr_map"):
+        want = dict(con.execute(plans.ORACLES[name]).fetchall())
+        assert {r["vec_id"]: r["r"] for r in plans.QUERIES[name](spark, str(tmp_path)).collect()} == want
