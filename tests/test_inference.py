@@ -42,3 +42,31 @@ def test_local_density(spark):
     want = {i: sum(sum(abs(x - y) for x, y in zip(p, q)) < 2.0 for _, q in points) for i, p in points}
     rows = spark.createDataFrame([*points, (900, None), (901, [None, 1.0, 1.0])], "k int, p array<double>")
     assert {r["key"]: r["n"] for r in inference.local_density(rows, "k", "p", 2.0).collect()} == want
+
+
+def test_local_density_at_rounded_bounds(spark):
+    """Many points at the very bound, in few groups and in none, with cells dealt over tasks: all as in plain loops."""
+    random.seed(5)
+    for dims, values in ((1, 40), (2, 40), (2, 3), (3, 2), (5, 4)):
+        points = [(i, [random.randrange(values * 8) / 10, *(random.randrange(values) / 10 for _ in range(dims - 1))]) for i in range(300)]
+        want = {}
+        for i, p in points:
+            want[i] = 0
+            for _, q in points:
+                apart = 0.0
+                for x, y in zip(p, q):
+                    apart += abs(x - y)
+                want[i] += apart < 0.7
+        rows = spark.createDataFrame(points, "k int, p array<double>")
+        assert {r["key"]: r["n"] for r in inference.local_density(rows, "k", "p", 0.7, most=20).collect()} == want
+
+
+def test_near_is_not_quadratic():
+    """100,000 points beside 100,000 others of 25 kinds, in seconds and exact against all pairs for some of them."""
+    rng = np.random.default_rng(3)
+    own = np.stack([rng.integers(-99999, 999999, 100_000) / 10000, rng.integers(0, 25, 100_000).astype(float)], axis=1)
+    others = np.unique(np.stack([rng.integers(-99999, 999999, 100_000) / 10000, rng.integers(0, 25, 100_000).astype(float)], axis=1), axis=0)
+    times = rng.integers(1, 4, len(others))
+    got = inference.near(own, others, times, 5.0)
+    for i in range(0, 100_000, 5000):
+        assert got[i] == times[np.abs(own[i, 0] - others[:, 0]) + np.abs(own[i, 1] - others[:, 1]) < 5.0].sum()
