@@ -250,3 +250,20 @@ def test_arrays_multiply_as_sql(spark, tmp_path):
     for name in ("arr_record_arithmetic", "arr_union", "arr_zip", "arr_zip_reduce", "arr_map"):
         want = dict(con.execute(plans.ORACLES[name]).fetchall())
         assert {r["vec_id"]: r["r"] for r in plans.QUERIES[name](spark, str(tmp_path)).collect()} == want
+
+
+def test_similarity_among_items_and_by_chunks(spark):
+    """Pairs with one of some items are those of all pairs; sums are the same however few pairs are opened at a time."""
+    import random
+
+    draw = random.Random(6)
+    rows = [(u, i, float(draw.randint(1, 9))) for u in range(60) for i in range(40) if draw.random() < 0.4]
+    df = spark.createDataFrame(rows, "user int, item int, rating double")
+    get = lambda d: {(r["item_a"], r["item_b"]): (r["common"], round(r["similarity"], 9)) for r in d.collect()}
+    all_ = get(learning.item_similarity(df))
+    assert len(all_) == 40 * 39 // 2
+    assert get(learning.item_similarity(df, most=50)) == all_
+    named = df.withColumn("item", F.format_string("i%02d", "item")).withColumn("user", F.col("user").cast("string"))
+    assert get(learning.item_similarity(named, most=500)) == {(f"i{a:02}", f"i{b:02}"): v for (a, b), v in all_.items()}
+    some = spark.createDataFrame([(3,), (7,), (11,)], "item int")
+    assert get(learning.item_similarity(df, among=some)) == {k: v for k, v in all_.items() if {3, 7, 11} & set(k)}
