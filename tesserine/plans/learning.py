@@ -163,7 +163,8 @@ def ml_recommend_top_n(t: Tables) -> DataFrame:
     """The ten suppliers that one customer (the first) would like best."""
     r = ratings(t)
     one = r.agg(F.min("user")).first()[0]
-    return L.recommend(r.filter(F.col("user") == F.lit(one)), L.item_similarity(r), 10).withColumn("preference", F.round("preference", 6))
+    own = r.filter(F.col("user") == F.lit(one))
+    return L.recommend(own, L.item_similarity(r, among=own.select("item")), 10).withColumn("preference", F.round("preference", 6))
 
 
 @query("""WITH m AS (SELECT avg(hour(ts)) AS m FROM events), s AS (SELECT m, sqrt(sum((hour(ts) - m) * (hour(ts) - m))) / count(*) AS s FROM events, m GROUP BY 1)
