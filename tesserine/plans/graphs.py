@@ -15,6 +15,11 @@ from tesserine.plans.registry import Tables, query
 EDGES = "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem"
 
 
+def links(t: Tables) -> DataFrame:
+    """The edges with their repeats, for what takes an edge once however often it comes."""
+    return t.lineitem.select(lambda l: {"src": l.l_suppkey, "dst": l.l_partkey}).df
+
+
 def edges(t: Tables) -> DataFrame:
     return t.lineitem.select(lambda l: {"src": l.l_suppkey, "dst": l.l_partkey}).distinct().df
 
@@ -29,11 +34,10 @@ def traceroute(t: Tables) -> Table:
     hop = lambda i, x: F.concat_ws(":", F.lit(i).cast("string"), F.concat_ws(".", *(octet(x, s) for s in (24, 16, 8, 0))), F.lit("0.5"))
     traces = t.lineitem.select(lambda l: {"trace": F.concat_ws("|", hop(0, l.l_partkey), hop(1, l.l_suppkey), hop(2, l.l_linenumber))})
     hops = traces.select_many(lambda r: A.pairs(F.split(r.trace, r"\|")))
-    # links are counted by the addresses' texts first, and only the distinct ones are parsed
-    address = lambda hop: F.split_part(hop, F.lit(":"), F.lit(2))
-    texts = hops.group_by(lambda e: {"a": address(e.src), "b": address(e.dst)}).select(lambda g: {"a": g.key.a, "b": g.key.b, "n": g.count()})
-    links = texts.select(lambda e: {"src": S.ip_to_int(e.a), "dst": S.ip_to_int(e.b), "n": e.n})
-    return links.group_by(lambda e: (e.src, e.dst)).select(lambda g: {"src": g.key._1, "dst": g.key._2, "n": g.sum(lambda e: e.n)}).where(lambda r: r.n > 20)
+    # addresses are parsed before links are counted: numbers are shuffled once, where texts were, and then numbers again
+    address = lambda hop: S.ip_to_int(F.split_part(hop, F.lit(":"), F.lit(2)))
+    links = hops.select(lambda e: {"src": address(e.src), "dst": address(e.dst)})
+    return links.group_by(lambda e: (e.src, e.dst)).select(lambda g: {"src": g.key._1, "dst": g.key._2, "n": g.count()}).where(lambda r: r.n > 20)
 
 
 @query("SELECT user_id, count(*) AS hits, round(sum(value), 4) AS total, CAST(sum(event_id % 100) AS BIGINT) AS bytes FROM events WHERE event_type = (SELECT min(event_type) FROM events) GROUP BY 1")
@@ -51,7 +55,7 @@ def graph_degrees(t: Tables) -> DataFrame:
 @query(f"""WITH e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM ({EDGES}) WHERE src <> dst)
 SELECT count(*) AS n_triangles FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b""")
 def graph_triangles(t: Tables) -> DataFrame:
-    return graph.triangles(edges(t))
+    return graph.triangles(links(t))
 
 
 ROUNDS = 20
@@ -76,7 +80,7 @@ h AS (SELECT a.src AS node, 2 * count(*) AS hits FROM m a JOIN m b ON a.src = b.
 n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
 SELECT n.node, round(CASE WHEN k.k >= 2 THEN coalesce(h.hits, 0) / (2.0 * k.k * (k.k - 1)) ELSE 0 END, 6) AS coefficient FROM n LEFT JOIN k ON k.src = n.node LEFT JOIN h ON h.node = n.node""")
 def graph_clustering(t: Tables) -> DataFrame:
-    return graph.clustering(edges(t)).select("node", F.round("coefficient", 6).alias("coefficient"))
+    return graph.clustering(links(t)).select("node", F.round("coefficient", 6).alias("coefficient"))
 
 
 @query("SELECT doc_id, split_part(line, chr(9), 1) AS name, substr(split_part(line, chr(9), 2), 1, 13) AS seq FROM (SELECT doc_id, source || chr(9) || text || chr(9) || lang || chr(9) || n_chars AS line FROM documents) WHERE NOT regexp_matches(split_part(line, chr(9), 2), '^[AN][GN][AN][TN]')")

@@ -267,3 +267,12 @@ def test_similarity_among_items_and_by_chunks(spark):
     assert get(learning.item_similarity(named, most=500)) == {(f"i{a:02}", f"i{b:02}"): v for (a, b), v in all_.items()}
     some = spark.createDataFrame([(3,), (7,), (11,)], "item int")
     assert get(learning.item_similarity(df, among=some)) == {k: v for k, v in all_.items() if {3, 7, 11} & set(k)}
+
+
+def test_traceroute_shuffles_once(spark):
+    """Links are dealt once, as numbers."""
+    from tesserine import plans
+
+    plans.load()
+    plan = plans.QUERIES["traceroute"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
