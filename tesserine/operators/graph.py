@@ -45,14 +45,26 @@ def low_to_high(edges: DataFrame) -> DataFrame:
 
 
 def triples(o: DataFrame) -> DataFrame:
-    """Every three nodes x, y, z that are linked with each other, once, with the pairs xy, yz and xz of low_to_high."""
-    link = lambda a, b: o.select(F.col("u").alias(a), F.col("v").alias(b), F.struct("forth", "back").alias(a + b))
-    return link("x", "y").join(link("y", "z"), "y").join(link("x", "z"), ["x", "z"])
+    """Every three nodes x, y, z that are linked with each other, once, with the pairs xy, yz and xz of low_to_high.
+
+    For each pair xy, the later neighbours of both are met as arrays: what is shuffled is an array for each pair, not a row
+    for each two pairs that share y. No array is longer than the root of twice the pairs."""
+    later = o.groupBy("u").agg(F.collect_list("v").alias("vs"), F.map_from_entries(F.collect_list(F.struct("v", F.struct("forth", "back")))).alias("links"))
+    of = lambda node, vs, links: later.select(F.col("u").alias(node), F.col("vs").alias(vs), F.col("links").alias(links))
+    pairs = o.select(F.col("u").alias("x"), F.col("v").alias("y"), F.struct("forth", "back").alias("xy")).join(of("y", "ys", "ylinks"), "y")
+    met = pairs.join(of("x", "xs", "xlinks"), "x")
+    return met.select("x", "y", "xy", F.explode(F.array_intersect("xs", "ys")).alias("z"), "xlinks", "ylinks").select("x", "y", "z", "xy", F.element_at("ylinks", F.col("z")).alias("yz"), F.element_at("xlinks", F.col("z")).alias("xz"))
 
 
 def triangles(edges: DataFrame) -> DataFrame:
-    """n_triangles: the triples of nodes that are linked with each other, directions and repeats aside."""
-    return triples(low_to_high(edges)).agg(F.count(F.lit(1)).alias("n_triangles"))
+    """n_triangles: the triples of nodes that are linked with each other, directions and repeats aside.
+
+    As in triples(), but the arrays hold nodes only."""
+    o = low_to_high(edges).select("u", "v")
+    later = o.groupBy("u").agg(F.collect_list("v").alias("vs"))
+    pairs = o.toDF("x", "y").join(later.toDF("y", "ys"), "y")
+    met = pairs.join(later.toDF("x", "xs"), "x").select(F.size(F.array_intersect("xs", "ys")).alias("n"))
+    return met.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_triangles"))
 
 
 def pagerank(edges: DataFrame, iterations: int = 100, additive: float = 0.15) -> DataFrame:
@@ -74,9 +86,14 @@ def clustering(edges: DataFrame, threshold: int = 2) -> DataFrame:
     """node, coefficient: over ordered pairs t, u of a node's reciprocal neighbours, the edges among them divided by two for
     each pair; 0 for fewer neighbours than the threshold.
 
-    Neighbours of neighbours are met by way of triples, so a node of high degree doesn't open all pairs around it."""
-    o = low_to_high(edges)
-    mutual = o.filter("forth AND back")
+    Neighbours of neighbours are met by way of triples, so a node of high degree doesn't open all pairs around it. Each
+    node of a triple that counts has a reciprocal neighbour, so only pairs of such nodes are put in order and met."""
+    e = edges.filter("src <> dst")
+    linked = e.groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.bool_or(F.col("src") < F.col("dst")).alias("forth"), F.bool_or(F.col("src") > F.col("dst")).alias("back"))
+    mutual = checkpointed(linked.filter("forth AND back"))
+    touched = mutual.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    among = e.join(touched.toDF("src"), "src", "semi").join(touched.toDF("dst"), "dst", "semi").select("src", "dst")
+    o = checkpointed(low_to_high(among))
     count = mutual.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("k"))
     many = lambda link: link["forth"].cast("int") + link["back"].cast("int")
     both = lambda link: link["forth"] & link["back"]
@@ -84,7 +101,7 @@ def clustering(edges: DataFrame, threshold: int = 2) -> DataFrame:
     # each ordered pair (t, u) counts u->t and t->u, so every edge among neighbours counts twice
     seen = F.array(*(F.struct(node.alias("node"), F.when(both(p) & both(q), 2 * many(r)).otherwise(0).alias("hits")) for node, p, q, r in ((F.col("x"), xy, xz, yz), (F.col("y"), xy, yz, xz), (F.col("z"), xz, yz, xy))))
     found = triples(o).select(F.inline(seen)).groupBy("node").agg(F.sum("hits").alias("hits"))
-    nodes = o.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     total = 2 * F.col("k") * (F.col("k") - 1)
     joined = nodes.join(count, "node", "left").join(found, "node", "left")
     return joined.select("node", F.when((F.col("k") >= threshold) & (total > 0), F.coalesce("hits", F.lit(0)) / total).otherwise(F.lit(0.0)).alias("coefficient"))

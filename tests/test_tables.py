@@ -276,3 +276,18 @@ def test_traceroute_shuffles_once(spark):
     plans.load()
     plan = plans.QUERIES["traceroute"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_triangles_meet_arrays_and_clustering_reciprocal_nodes(spark, monkeypatch):
+    """Triangles shuffle no row for each two linked pairs; clustering puts only edges among nodes with reciprocal
+    neighbours in order."""
+    rows = [(s, 100 + p) for s in range(20) for p in range(50)] + [(1, 2), (2, 1), (2, 3), (3, 2), (1, 3)]
+    df = spark.createDataFrame(rows, "src long, dst long")
+    assert "array_intersect" in graph.triangles(df)._jdf.queryExecution().executedPlan().toString()
+    assert graph.triangles(df).first()[0] == 1 + 3 * 50
+    seen = []
+    real = graph.low_to_high
+    monkeypatch.setattr(graph, "low_to_high", lambda e: seen.append(e.count()) or real(e))
+    got = {r["node"]: r["coefficient"] for r in graph.clustering(df).collect()}
+    assert seen == [5]
+    assert got == {n: 0.5 if n == 2 else 0.0 for n in [*range(20), *range(100, 150)]}  # 1 to 3, counted twice, of 2 * 2 * 1
